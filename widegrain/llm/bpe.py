@@ -37,6 +37,16 @@ def char_classes() -> np.ndarray:
     return table
 
 
+def byte_chars() -> np.ndarray:
+    """The UTF-16 unit of the character that byte-level BPE writes for each byte: printable bytes stand for
+    themselves, the others follow from code point 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    table = np.arange(256, dtype="<u2")
+    table[rest] = 256 + np.arange(len(rest))
+    return table
+
+
 class BatchBpe:
     """Encodes slices of texts with one tokenizer file of byte-level BPE."""
 
@@ -47,6 +57,7 @@ class BatchBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.classes = char_classes()
+        self.byte_chars = byte_chars()
         self._forget()
 
     def _forget(self) -> None:
@@ -141,8 +152,9 @@ class BatchBpe:
                 self._forget()
                 new[:] = True
             pick = where[new]
-            words = [buf[x:y].tobytes().decode() for x, y in zip(a[pick], b[pick])]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            mapped = self.byte_chars[buf].tobytes().decode("utf-16-le")
+            tokenize = self.tokenizer.model.tokenize
+            found = [[t.id for t in tokenize(mapped[x:y])] for x, y in zip(a[pick].tolist(), b[pick].tolist())]
             size = np.array([len(x) for x in found], np.int64)
             at = len(self.ids) + np.cumsum(size) - size
             self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
