@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from widegrain.llm import simhash_dedup
+from widegrain.llm import language_id, packing, simhash_dedup, substring_dedup
 
 QUERIES = {
+    "op2_language_id": language_id.query,
+    "op5_substring_dedup": substring_dedup.query,
+    "op6_packing": packing.query,
     "op10_simhash_dedup": simhash_dedup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": substring_dedup.ORACLE_SQL,
+}
