@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from widegrain.llm import language_id, packing, simhash_dedup, substring_dedup
+from widegrain.llm import embedding_dedup, language_id, line_dedup, packing, quality_rules, simhash_dedup, substring_dedup
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.query,
     "op2_language_id": language_id.query,
+    "op4_line_dedup": line_dedup.query,
     "op5_substring_dedup": substring_dedup.query,
     "op6_packing": packing.query,
+    "op9_quality_rules": quality_rules.query,
     "op10_simhash_dedup": simhash_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op5_substring_dedup": substring_dedup.ORACLE_SQL,
 }
