@@ -53,8 +53,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to four places, so that the order of additions doesn't show."""
-    return df.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles to four places, so that the order of additions doesn't show, and no -0."""
+    return df.select(*[(F.round(c, 4) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def wide(entities: str, metrics: str, paths: Paths | None = None, options: Options | None = None, **more) -> Callable[[SparkSession, str], DataFrame]:
@@ -215,7 +215,7 @@ _MONTHS = """m AS (SELECT o_custkey, date_trunc('month', o_orderdate) AS d, sum(
 
 
 def _r(expr: str, name: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 4) AS {name}"
+    return f"round(CAST({expr} AS DOUBLE), 4) + CAST(0 AS DOUBLE) AS {name}"
 
 
 ORACLE_SQL: dict[str, str] = {
