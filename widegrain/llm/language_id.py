@@ -198,7 +198,7 @@ def predict(docs: DataFrame, model: ByteCnn | None, keep: list[str] | None = Non
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 
-def identified(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
+def identified(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """Rows of `docs` whose language is determined with a score of `min_score` or more.
 
     All columns come back unchanged; a row is rejected if its text is null, has no
