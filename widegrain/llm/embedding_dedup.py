@@ -230,9 +230,11 @@ WITH RECURSIVE v AS (
   SELECT vec_id, e FROM v
   WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(e, lambda x: x <> 0)) > 0
+), whole AS (
+  SELECT vec_id, list_transform(e, lambda x: coalesce(x, CAST(0 AS DOUBLE))) AS e FROM ok
 ), links AS (
-  SELECT a.vec_id AS s, b.vec_id AS t FROM ok a, ok b
-  WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+  SELECT a.vec_id AS s, b.vec_id AS t FROM whole a, whole b
+  WHERE a.vec_id <> b.vec_id AND CASE WHEN len(a.e) = len(b.e) AND len(a.e) > 0 THEN list_cosine_similarity(a.e, b.e) ELSE -1 END >= 0.95
 ), reach(s, t) AS (
   SELECT vec_id, vec_id FROM v UNION SELECT reach.s, links.t FROM reach JOIN links ON reach.t = links.s
 ), least AS (

@@ -62,13 +62,20 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("text"), run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
 
 
+#: Discounts used where the counts of counts that estimate one are missing.
+FALLBACK = (0.5, 1.0, 1.5)
+
+
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts of one, two, and three or more."""
+    """Modified Kneser-Ney discounts for counts of one, two, and three or more.
+
+    Always above zero, so that no symbol is impossible.
+    """
     row = counts.agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
     n1, n2, n3, n4 = (float(x) for x in row)
     y = n1 / (n1 + 2 * n2) if n1 else 0.0
     raw = [i - (i + 1) * y * b / a if a else 0.0 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    return tuple(min(max(d, 0.0), float(i)) for i, d in enumerate(raw, 1))  # type: ignore[return-value]
+    return tuple(d if 0 < d < i else FALLBACK[i - 1] for i, d in enumerate(raw, 1))  # type: ignore[return-value]
 
 
 def _discount(d: tuple[float, float, float]) -> Column:
