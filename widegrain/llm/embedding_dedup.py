@@ -34,6 +34,8 @@ SEED = 20240501
 #: Vectors of a cell that a task compares with as many others.
 CHUNK = 16384
 ROWS = 512
+#: Cells whose sizes are broadcast (40 bytes each); more of them are joined by shuffle.
+HELD_CELLS = 1_000_000
 SLACK = 1e-9
 
 
@@ -125,7 +127,9 @@ def link_parts(classes: DataFrame, cosine: float, blocks: int, chunk: int) -> Da
         F.ceil(F.col("home") / chunk).cast("int").alias("home_parts"),
         F.greatest(F.ceil(F.col("away") / chunk), F.lit(1)).cast("int").alias("away_parts"),
     )
-    placed = dealt.join(parts, [F.col(c) == F.col(f"g_{c}") for c in group])
+    parts = save(parts)
+    few = parts.limit(HELD_CELLS + 1).count() <= HELD_CELLS
+    placed = dealt.join(F.broadcast(parts) if few else parts, [F.col(c) == F.col(f"g_{c}") for c in group])
     # A task is one home chunk with itself, with a later home chunk, or with a chunk of visitors.
     mine = F.pmod(F.xxhash64("cid"), F.when(F.col("own"), F.col("home_parts")).otherwise(F.col("away_parts"))).cast("int")
     homes = F.sequence(F.lit(0), F.col("home_parts") - 1)
@@ -153,7 +157,8 @@ def link_parts(classes: DataFrame, cosine: float, blocks: int, chunk: int) -> Da
         return pd.DataFrame({"kind": np.repeat([0, 1], [len(has), len(a)]).astype(np.int32), "a": np.concatenate([ids[has], ids[a]]), "b": np.concatenate([counts[has], ids[b]])})
 
     ship(classes.sparkSession)
-    return placed.groupBy(*group, "i", "j").applyInPandas(compare, "kind int, a long, b long")
+    # By task, not by cell, or all tasks of a large cell would run one after the other.
+    return placed.repartition(*group, "i", "j").groupBy(*group, "i", "j").applyInPandas(compare, "kind int, a long, b long")
 
 
 def linked_pairs(x: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, block: int, plan: list, cosine: float) -> tuple[np.ndarray, Forest]:
