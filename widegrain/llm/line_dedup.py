@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from widegrain.llm import kernels
-from widegrain.llm.common import map_arrow, text_buffer, text_slices
+from widegrain.llm.common import map_arrow, save, text_buffer, text_slices
 
 #: Documents that may share a rare line; words of a deleted block with and without one.
 RARE_DOCS = 64
@@ -132,6 +132,8 @@ def removed_lines(docs: DataFrame, rare_docs: int = RARE_DOCS, rare_words: int =
     lines = map_arrow(src, keys, "key long, doc long, part long, line int, words int")
     firsts = lines.groupBy("key").agg(F.count("*").alias("shared"), F.min(F.struct("doc", "part", "line")).alias("a")).where("shared > 1")
     firsts = firsts.select(F.col("key").alias("akey"), "shared", F.col("a.doc").alias("adoc"), F.col("a.part").alias("apart"), F.col("a.line").alias("aline"))
+    # Written, so that both sides of the join are plain shuffles and a hot key can be split.
+    firsts = save(firsts)
     later = lines.join(firsts, F.col("key") == F.col("akey")).where("doc <> adoc OR part <> apart")
     shared = later.groupBy("doc", "part").agg(F.sort_array(F.collect_set(F.struct("line", "words", "adoc", "apart", "aline", "shared"))).alias("s"))
 
