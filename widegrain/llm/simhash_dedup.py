@@ -34,6 +34,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 MAX_BITS = 4
 #: A bucket of more fingerprints is split into chunks that are compared two at a time.
 BUCKET_ROWS = 8192
+#: Such buckets whose sizes are broadcast (16 bytes each); more are joined by shuffle.
+HELD_BUCKETS = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -220,8 +222,9 @@ def fingerprint_links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame
 
     keyed = map_arrow(classes.select("fp"), expand, "k long, fp long")
     large = keyed.groupBy("k").count().where(F.col("count") > BUCKET_ROWS)
-    large = large.select("k", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("m"))
-    dealt = keyed.join(large, "k", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    large = save(large.select("k", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("m")))
+    few = large.limit(HELD_BUCKETS + 1).count() <= HELD_BUCKETS
+    dealt = keyed.join(F.broadcast(large) if few else large, "k", "left").withColumn("m", F.coalesce("m", F.lit(1)))
     dealt = dealt.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     dealt = dealt.select("k", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp")
