@@ -1,9 +1,10 @@
-"""Files that load the sources, describe each table's plan and build all tables."""
+"""Files that load the sources and build every table in Spark SQL."""
 
 from __future__ import annotations
 
 import os
 
+from widegrain.authoring.sql import table_sql
 from widegrain.plans.manifest_yaml import serialize_manifest
 from widegrain.plans.model import Manifest
 from widegrain.plans.planner import plan_all
@@ -24,7 +25,7 @@ def plan_text(manifest: Manifest, table: str) -> str:
         for m in g.metrics:
             hops = " > ".join(f"{h.target_entity} by {h.strategy}" for h in m.hops) or "reserve"
             lines.append(f"--   {m.name} from {m.home.name}: {hops}" + (f"; reserved for {', '.join(m.reserved)}" if m.reserved else ""))
-    return "\n".join([*lines, f"SELECT * FROM parquet.`out/{table}`;", ""])
+    return "\n".join([*lines, table_sql(manifest, plan)])
 
 
 def emit(manifest: Manifest, out: str, folder: str, form: str = "csv") -> list[str]:
@@ -33,7 +34,7 @@ def emit(manifest: Manifest, out: str, folder: str, form: str = "csv") -> list[s
     files = {"00_load_data.sql": load_sql(manifest, folder, form), "manifest.yaml": serialize_manifest(manifest)}
     for i, t in enumerate(manifest.tables, 1):
         files[f"{i:02d}_{t.name}.sql"] = plan_text(manifest, t.name)
-    files["run.sh"] = f"#!/bin/sh\nset -e\ncd \"$(dirname \"$0\")\"\npython -m widegrain build manifest.yaml --data '{folder}' --format {form} --out out\n"
+    files["run.sh"] = '#!/bin/sh\nset -e\ncd "$(dirname "$0")"\ncat [0-9]*.sql > .all.sql\nspark-sql -f .all.sql\n'
     paths = []
     for name, body in files.items():
         path = os.path.join(out, name)
