@@ -110,6 +110,14 @@ class TestSentencePiece:
             total += len(run.decode()) * v.unknown_score
             assert total == pytest.approx(best(0), rel=1e-12)
 
+    def test_long_words_are_segmented_alike(self, monkeypatch):
+        rng = np.random.default_rng(3)
+        words = ["".join(rng.choice(list("thenaiorsé日"), n)) for n in (1, 2, 5, 30, 120, 250)]
+        want = [i.tolist() for i in sentencepiece_codec.segment(self.codec.vocab, words)]
+        monkeypatch.setattr(sentencepiece_codec, "LONG_WORD", 0)
+        assert [i.tolist() for i in sentencepiece_codec.segment(self.codec.vocab, words)] == want
+        assert self.codec.decode(self.codec.encode(["x" * 100000])[0]) == "x" * 100000
+
     def test_round_trip(self, spark, awkward, empty):
         texts = [t for t in TEXTS if t != "\x1c x"] + ["   ", " x", "a" * 300]
         assert [self.codec.decode(i) for i in self.codec.encode(texts)] == texts

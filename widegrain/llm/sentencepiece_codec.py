@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from widegrain.llm import kernels
-from widegrain.llm.common import map_arrow, ragged_arange, text_slices
+from widegrain.llm.common import map_arrow, ragged_arange, text_buffer, text_slices
 
 MARK = "\u2581"
 UNKNOWN_PENALTY = 10.0
 BASE = 0xC6A4A7935BD1E995
 CACHE_WORDS = 1 << 19
+#: Words of more characters are segmented one by one.
+LONG_WORD = 256
 
 
 def default_model() -> str:
@@ -85,89 +87,157 @@ class Vocabulary:
         marked = sp.encode("a") == sp.encode(" a") or sp.id_to_piece(sp.encode("a")[0]).startswith(MARK)
         return cls(pieces, keys[order], ids, scores, int(sizes.max()), byte_ids, sp.unk_id(), float(scores.min()) - UNKNOWN_PENALTY, marked, controls)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each key among the sorted keys, -1 if absent."""
-        slot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[slot] == keys, slot, -1)
-
-
-def segment(vocab: Vocabulary, words: list[str]) -> list[np.ndarray]:
-    """Ids of every word; words of equal length advance together."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
-    sizes = np.array([len(w) for w in words])
-    for size in np.unique(sizes[sizes > 0]).tolist():
-        rows = np.flatnonzero(sizes == size)
-        step = max(1, (1 << 18) // size)
-        for lo in range(0, len(rows), step):
-            part = rows[lo : lo + step]
-            for r, ids in zip(part.tolist(), _viterbi(vocab, [words[i] for i in part], size)):
-                out[r] = ids
-    return out
-
-
-def _viterbi(vocab: Vocabulary, words: list[str], size: int) -> list[np.ndarray]:
-    n = len(words)
-    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    def __post_init__(self) -> None:
+        # Where the sorted keys of each leading 17 bits begin, so a probe starts in place.
+        self.first = np.searchsorted(self.keys >> np.uint64(47), np.arange((1 << 17) + 1, dtype=np.uint64))
+        # The bytes that each id stands for, joined; control pieces stand for none.
+        byte_of = {int(i): bytes([b]) for b, i in enumerate(self.byte_ids) if i >= 0}
+        blobs = [b"" if i in self.controls else byte_of.get(i, p.replace(MARK, " ").encode()) for i, p in enumerate(self.pieces)]
+        self.blob = np.frombuffer(b"".join(blobs), np.uint8)
+        self.blob_size = np.array([len(x) for x in blobs])
+        self.blob_at = np.cumsum(self.blob_size) - self.blob_size
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, places): which keys are among the sorted keys, and where."""
+        lead = (keys >> np.uint64(47)).astype(np.int64)
+        at, end = self.first[lead], self.first[lead + 1]
+        rows = np.flatnonzero(at < end)
+        at, end, want = at[rows], end[rows], keys[rows]
+        found_rows, found_at = [], []
+        while len(rows):
+            hit = self.keys[at] == want
+            found_rows.append(rows[hit])
+            found_at.append(at[hit])
+            more = ~hit & (at + 1 < end)
+            rows, at, end, want = rows[more], at[more] + 1, end[more], want[more]
+        if not found_rows:
+            return rows, at
+        return np.concatenate(found_rows), np.concatenate(found_at)
+
+
+def segment_points(vocab: Vocabulary, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words joined, and how many each has; words of equal length advance together."""
+    counts = np.zeros(len(starts), np.int64)
+    rows_of, ids_of = [], []
+    order = np.argsort(sizes, kind="stable")
+    cuts = np.flatnonzero(np.diff(sizes[order])) + 1
+    for group in np.split(order, cuts):
+        size = int(sizes[group[0]]) if len(group) else 0
+        step = 1 if size > LONG_WORD else max(1, (1 << 18) // max(size, 1))
+        for lo in range(0, len(group) if size else 0, step):
+            part = group[lo : lo + step]
+            if size > LONG_WORD:
+                row, ids = _long_word(vocab, points[starts[part[0]] : starts[part[0]] + size])
+            else:
+                row, ids = _viterbi(vocab, points[starts[part] + np.arange(size)[:, None]], size)
+            rows_of.append(part[row])
+            ids_of.append(ids)
+    if not rows_of:
+        return np.zeros(0, np.int32), counts
+    rows, ids = np.concatenate(rows_of), np.concatenate(ids_of)
+    counts += np.bincount(rows, minlength=len(starts))
+    return ids[np.argsort(rows, kind="stable")], counts
+
+
+def _viterbi(vocab: Vocabulary, points: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, id) of n words, points (size, n), in order of words and places."""
+    n = points.shape[1]
+    pw, _ = kernels.powers(BASE, size + 1)
+    scaled = points.astype(np.uint64) + np.uint64(1)
     best = np.full((size + 1, n), -np.inf)
     best[0] = 0
     back = np.zeros((size + 1, n), np.int32)
     piece = np.full((size + 1, n), -1, np.int32)
-    row = np.arange(n) * size
-    for end in range(1, size + 1):
-        # Longest first, so that a tie keeps the longer piece.
-        for start in range(max(0, end - vocab.longest), end):
-            slot = vocab.find(hash_slice(points, row + start, end - start))
-            score = np.where(slot >= 0, vocab.scores[slot], -np.inf)
-            if start == end - 1:
-                score = np.where(slot >= 0, score, vocab.unknown_score)
-            total = best[start] + score
-            better = total > best[end]
-            best[end] = np.where(better, total, best[end])
-            back[end] = np.where(better, start, back[end])
-            piece[end] = np.where(better, slot, piece[end])
-    return [_path(vocab, words[i], back[:, i], piece[:, i]) for i in range(n)]
-
-
-def hash_slice(points: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """hash_points for runs of one size, by direct evaluation."""
-    pw, _ = kernels.powers(BASE, size + 1)
-    total = np.zeros(len(starts), np.uint64)
-    for i in range(size):
-        total += (points[starts + i].astype(np.uint64) + np.uint64(1)) * pw[i]
-    return kernels.mix(total + np.uint64(size * kernels.MIX_1 & (1 << 64) - 1))
+    # Starts ascend and only a greater total replaces another, so a tie keeps the longer last piece.
+    for start in range(size):
+        total = np.zeros(n, np.uint64)
+        lone = best[start] + vocab.unknown_score
+        for length in range(1, min(vocab.longest, size - start) + 1):
+            end = start + length
+            total = total + scaled[end - 1] * pw[length - 1]
+            rows, slot = vocab.find(kernels.mix(total + np.uint64(length * kernels.MIX_1 & (1 << 64) - 1)))
+            if length == 1:
+                absent = np.ones(n, bool)
+                absent[rows] = False
+                worse = np.flatnonzero(absent & (lone > best[end]))
+                best[end, worse], back[end, worse], piece[end, worse] = lone[worse], start, -1
+            score = best[start, rows] + vocab.scores[slot]
+            better = score > best[end, rows]
+            rows, slot, score = rows[better], slot[better], score[better]
+            best[end, rows], back[end, rows], piece[end, rows] = score, start, slot
+    return _paths(vocab, points, back, piece, size)
+
+
+def _paths(vocab: Vocabulary, points: np.ndarray, back: np.ndarray, piece: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Follow the backpointers of all words together."""
+    n = points.shape[1]
+    rows, end = np.arange(n), np.full(n, size)
+    row_parts, start_parts, slot_parts = [], [], []
+    while len(rows):
+        slot_parts.append(piece[end, rows])
+        end = back[end, rows]
+        row_parts.append(rows)
+        start_parts.append(end)
+        rows, end = rows[end > 0], end[end > 0]
+    row, start, slot = (np.concatenate(x) for x in (row_parts, start_parts, slot_parts))
+    order = np.lexsort((start, row))
+    return _ids_of(vocab, points, row[order], start[order], slot[order])
+
+
+def _long_word(vocab: Vocabulary, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`_viterbi` of one long word: all places of a length are probed together."""
+    size = len(points)
+    pw, _ = kernels.powers(BASE, vocab.longest + 1)
+    scaled = points.astype(np.uint64) + np.uint64(1)
+    total = np.zeros(size, np.uint64)
+    starts, lengths, slots = [], [], []
+    for length in range(1, min(vocab.longest, size) + 1):
+        total = total[: size - length + 1] + scaled[length - 1 :] * pw[length - 1]
+        rows, slot = vocab.find(kernels.mix(total + np.uint64(length * kernels.MIX_1 & (1 << 64) - 1)))
+        if length == 1:
+            absent = np.setdiff1d(np.arange(size), rows)
+            rows, slot = np.concatenate([rows, absent]), np.concatenate([slot, np.full(len(absent), -1)])
+        starts.append(rows)
+        lengths.append(np.full(len(rows), length))
+        slots.append(slot)
+    start, length, slot = (np.concatenate(x) for x in (starts, lengths, slots))
+    order = np.lexsort((length, start))
+    start, length, slot = start[order], length[order], slot[order]
+    score = np.where(slot >= 0, vocab.scores[slot], vocab.unknown_score)
+    best, back, piece = [0.0] + [-np.inf] * size, [0] * (size + 1), [-1] * (size + 1)
+    for s, n, k, x in zip(start.tolist(), length.tolist(), slot.tolist(), score.tolist()):
+        if best[s] + x > best[s + n]:
+            best[s + n], back[s + n], piece[s + n] = best[s] + x, s, k
+    path, end = [], size
+    while end:
+        path.append((back[end], piece[end]))
+        end = back[end]
+    at, slot = (np.array(x, np.int64) for x in zip(*reversed(path)))
+    return _ids_of(vocab, points[:, None], np.zeros(len(at), np.int64), at, slot)
+
+
+def _ids_of(vocab: Vocabulary, points: np.ndarray, row: np.ndarray, start: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, id) of the path's pieces; a character without a piece becomes its bytes."""
+    ids = np.where(slot >= 0, vocab.ids[slot], vocab.unknown)
+    lost = np.flatnonzero(slot < 0)
+    if not len(lost) or (vocab.byte_ids < 0).any():
+        return row, ids.astype(np.int32)
+    raw = [chr(c).encode("utf-8", "replace") for c in points[start[lost], row[lost]].tolist()]
+    times = np.ones(len(row), np.int64)
+    times[lost] = [len(r) for r in raw]
+    ids = np.repeat(ids, times)
+    at = (np.cumsum(times) - times)[lost]
+    spread = np.repeat(at, times[lost]) + ragged_arange(times[lost])
+    ids[spread] = vocab.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+    return np.repeat(row, times), ids.astype(np.int32)
 
 
-def _path(vocab: Vocabulary, word: str, back: np.ndarray, piece: np.ndarray) -> np.ndarray:
-    out: list[int] = []
-    end = len(word)
-    while end:
-        start, slot = int(back[end]), int(piece[end])
-        if slot >= 0:
-            out.append(int(vocab.ids[slot]))
-        else:
-            raw = word[start:end].encode("utf-8", "replace")
-            if all(vocab.byte_ids[b] >= 0 for b in raw):
-                out.extend(int(vocab.byte_ids[b]) for b in reversed(raw))
-            else:
-                out.append(vocab.unknown)
-        end = start
-    return np.array(out[::-1], np.int64)
-
-
-def split_words(text: str, add_prefix: bool) -> list[str]:
-    """Words with their space marks: a word ends where a mark follows another sign."""
-    marked = (MARK if add_prefix and text else "") + text.replace(" ", MARK)
-    parts = marked.split(MARK)
-    out, marks = [], 0
-    for i, p in enumerate(parts):
-        if i:
-            marks += 1
-        if p:
-            out.append(MARK * marks + p)
-            marks = 0
-    if marks:
-        out.append(MARK * marks)
-    return out
+def segment(vocab: Vocabulary, words: list[str]) -> list[np.ndarray]:
+    """Ids of every word of a list."""
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(w) for w in words], np.int64)
+    ids, counts = segment_points(vocab, points, np.cumsum(sizes) - sizes, sizes)
+    return np.split(ids, np.cumsum(counts)[:-1])
 
 
 class Codec:
@@ -175,25 +245,75 @@ class Codec:
 
     def __init__(self, path: str):
         self.vocab = Vocabulary.load(path)
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.at = self.size = np.zeros(0, np.int64)
+
+    def encode_texts(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8 bytes and offsets) joined, and each text's offset in them."""
+        n = len(offsets) - 1
+        if not len(buf):
+            return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
+        try:
+            points = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        except UnicodeError:
+            texts = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
+            return self.encode_texts(*text_buffer(pa.array(texts, pa.large_string())))
+        first = np.searchsorted(np.flatnonzero((buf & 0xC0) != 0x80), offsets)
+        points = np.where(points == 0x20, ord(MARK), points).astype(np.uint32)
+        if self.vocab.add_prefix:
+            held = np.flatnonzero(np.diff(first))
+            points = np.insert(points, first[held], ord(MARK))
+            first = first + np.concatenate([[0], np.cumsum(np.diff(first) > 0)])
+        # A word ends where a mark follows another sign.
+        mark = points == ord(MARK)
+        new = mark.copy()
+        new[1:] &= ~mark[:-1]
+        new[first[first < len(points)]] = True
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(points)))
+        word_of = np.searchsorted(first, starts, "right") - 1
+        # Empty texts share an offset with the next one; the last of equal offsets holds the word.
+        ids, counts = self._lookup(points, starts, sizes)
+        per_text = np.bincount(word_of, counts, minlength=n).astype(np.int64)
+        return ids, np.concatenate([[0], np.cumsum(per_text)])
+
+    def _lookup(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, where, inverse = np.unique(hash_points(points, starts, sizes), return_index=True, return_inverse=True)
+        fresh = np.ones(len(keys), bool)
+        if len(self.keys):
+            fresh = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
+        if fresh.any():
+            if len(self.keys) + fresh.sum() > CACHE_WORDS:
+                self._forget()
+                fresh[:] = True
+            ids, counts = segment_points(self.vocab, points, starts[where[fresh]], sizes[where[fresh]])
+            at = len(self.ids) + np.cumsum(counts) - counts
+            merged = np.concatenate([self.keys, keys[fresh]])
+            order = np.argsort(merged, kind="stable")
+            self.ids, self.keys = np.concatenate([self.ids, ids]), merged[order]
+            self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, counts])[order]
+        slot = np.searchsorted(self.keys, keys)
+        size = self.size[slot][inverse]
+        return self.ids[np.repeat(self.at[slot][inverse], size) + ragged_arange(size)], size
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [split_words(t, self.vocab.add_prefix) for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        self.known.update(zip(new, segment(self.vocab, new)))
-        none = np.zeros(0, np.int64)
-        return [np.concatenate([self.known[w] for w in words]) if words else none for words in split]
+        ids, off = self.encode_texts(*text_buffer(pa.array(texts, pa.large_string())))
+        return [ids[a:b] for a, b in zip(off[:-1], off[1:])]
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: byte pieces are joined to UTF-8, the first space mark goes."""
+    def decode_ids(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """UTF-8 of each run of ids: byte pieces join up, the first space mark goes."""
         v = self.vocab
-        byte_of = {int(i): b for b, i in enumerate(v.byte_ids) if i >= 0}
-        raw = b"".join(bytes([byte_of[i]]) if i in byte_of else b"" if i in v.controls else v.pieces[i].encode() for i in ids.tolist())
-        text = raw.decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if v.add_prefix and text.startswith(" ") else text
+        size = v.blob_size[ids]
+        raw = v.blob[np.repeat(v.blob_at[ids], size) + ragged_arange(size)].tobytes()
+        edge = np.concatenate([[0], np.cumsum(size)])[offsets].tolist()
+        out = [raw[a:b] for a, b in zip(edge[:-1], edge[1:])]
+        return [x[1:] if v.add_prefix and x[:1] == b" " else x for x in out]
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.decode_ids(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0].decode("utf-8", "replace")
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -234,10 +354,13 @@ def query(spark, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
         for part in text_slices(batches):
-            texts = part.column(1).to_pylist()
-            ids = codec.encode([t or "" for t in texts])
-            same = [t is None or codec.decode(i) == t for t, i in zip(texts, ids)]
-            cols = [part.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), pa.array(same)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_ids", "ids_crc32", "round_trip"])
+            buf, offsets = text_buffer(part.column(1))
+            ids, off = codec.encode_texts(buf, offsets)
+            text = buf.tobytes()
+            back = codec.decode_ids(ids, off)
+            same = [x == text[a:b] for x, a, b in zip(back, offsets[:-1].tolist(), offsets[1:].tolist())]
+            wide = ids.astype("<u4")
+            sums = [crc32(wide[a:b].tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(sums, pa.int64()), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
 
     return map_arrow(docs, run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
