@@ -19,6 +19,9 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: Texts are handed to the numpy kernels in slices of about so many bytes, which bounds
 #: a Python worker's memory; a single longer text makes a slice of its own.
 SLICE_BYTES = 1 << 21
+#: Bytes of an Arrow batch between Spark and a Python worker, unless the session sets its own.
+ARROW_BYTES = 8 << 20
+ARROW_SETTING, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 _OWN_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -83,6 +86,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(ARROW_SETTING) == ARROW_DEFAULT:
+        df.sparkSession.conf.set(ARROW_SETTING, str(ARROW_BYTES))
     return df.mapInArrow(fn, schema)
 
 
