@@ -14,7 +14,7 @@ from widegrain.llm.language_id import identified
 from widegrain.llm.line_dedup import dedup_lines
 from widegrain.llm.packing import pack
 from widegrain.llm.pii import replace_pii
-from widegrain.llm.simhash_dedup import simhash_keep_first
+from widegrain.llm.shingle_dedup import shingle_keep_first
 
 
 def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
@@ -33,8 +33,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, four bits of 64."""
-    return simhash_keep_first(docs, shingle=5, max_bits=4)
+    """One document of each near-duplicate group: Jaccard of five-word shingles >= 0.8, exactly."""
+    return shingle_keep_first(docs, shingle=5)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from widegrain.llm import embedding_dedup, line_dedup, simhash_dedup, substring_dedup
+from widegrain.llm import embedding_dedup, line_dedup, shingle_dedup, simhash_dedup, substring_dedup
 from widegrain.llm.components import Forest, connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,6 +96,52 @@ def test_simhash_keeps_one_of_each_group(awkward, empty):
     assert simhash_dedup.simhash_keep_first(empty).count() == 0
 
 
+# -- shingle sets
+
+
+def shingle_set(text, k=5):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+@pytest.mark.parametrize("rows, often", [(8192, 8), (3, 2)])
+def test_shingle_links_equal_all_pairs(spark, awkward, monkeypatch, rows, often):
+    import random
+
+    import corpus_pipeline
+
+    monkeypatch.setattr(shingle_dedup, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(shingle_dedup, "OFTEN", often)
+    rng = random.Random(6)
+    texts = []
+    for _ in range(30):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(6, 250))]
+        for edits in (0, 1, 1, 2, 3, 5):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 99999)}"
+            texts.append(" ".join(copy))
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts += [f"{passage} {' '.join(f'q{i}x{j}' for j in range(rng.randint(3, 60)))}" for i in range(40)]
+    docs = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").union(awkward.select("doc_id", "text"))
+    data = [(r["doc_id"], shingle_set(r["text"])) for r in docs.collect()]
+    near = [(a, b) for a, b in itertools.combinations(range(len(data)), 2) if data[a][1] == data[b][1] or 9 * len(data[a][1] & data[b][1]) >= 4 * (len(data[a][1]) + len(data[b][1]))]
+    jaccard = [len(data[a][1] & data[b][1]) / len(data[a][1] | data[b][1]) for a, b in near if data[a][1]]
+    assert sum(0.8 <= j < 0.95 for j in jaccard) > 50
+    root = groups(len(data), near)
+    least = {g: min((data[i][0] for i in range(len(data)) if root[i] == g and data[i][0] is not None), default=None) for g in set(root)}
+    found = shingle_dedup.shingle_components(docs).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in found) == Counter((data[i][0], least[root[i]]) for i in range(len(data)))
+    gone = {i for i, (d, _) in enumerate(data) if d is not None and d != least[root[i]]}
+    gone = {data[i][0] for i in gone}
+    kept = Counter(r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, docs, "").collect())
+    assert kept == Counter(d for d, _ in data if d not in gone)
+
+
+def test_shingle_dedup_of_no_rows(empty):
+    assert shingle_dedup.shingle_keep_first(empty).count() == 0
+
+
 # -- substrings
 
 

@@ -93,14 +93,12 @@ def _xxh64_group(by8, by4, data, s, size: int, seed: int) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
-def fingerprints_of(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
-    """Fingerprints of many texts (UTF-8 bytes and offsets)."""
-    n_texts = len(offsets) - 1
-    out = np.zeros(n_texts, U64)
+def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of every text's shingles in order, the texts that have any, and how many each has."""
     buf = _LOWER[buf]
     starts, ends, first = kernels.word_spans(buf, offsets)
     if not len(starts):
-        return out
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     joined, _ = kernels.join_spans(buf, starts, ends, np.diff(first))
     lens = ends - starts
     word_at = np.cumsum(lens + 1) - lens - 1
@@ -111,7 +109,16 @@ def fingerprints_of(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.nd
     head = np.repeat(first[held], count[held]) + _within(count[held])
     last = np.minimum(head + shingle, np.repeat(first[held + 1], count[held])) - 1
     h = xxh64_spans(np.frombuffer(joined, np.uint8), word_at[head], word_at[last] + lens[last] - word_at[head])
-    group_at = np.cumsum(count[held]) - count[held]
+    return h, held, count[held]
+
+
+def fingerprints_of(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
+    """Fingerprints of many texts (UTF-8 bytes and offsets)."""
+    out = np.zeros(len(offsets) - 1, U64)
+    h, held, count = shingle_hashes(buf, offsets, shingle)
+    if not len(held):
+        return out
+    group_at = np.cumsum(count) - count
     votes = np.zeros((len(held), 64), np.int64)
     step = 1 << 16
     for lo in range(0, len(h), step):
@@ -121,7 +128,7 @@ def fingerprints_of(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.nd
         b = int(np.searchsorted(group_at, lo + len(part), "left"))
         cut = np.maximum(group_at[a:b] - lo, 0)
         votes[a:b] += np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
-    over = (2 * votes > count[held][:, None]).astype(np.uint8)
+    over = (2 * votes > count[:, None]).astype(np.uint8)
     out[held] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
