@@ -212,6 +212,24 @@ def test_taken_surrogates_are_drawn_again(spark):
     assert sorted(pii.permute(x, 1000, key, "a") for x in range(1000)) == list(range(1000))
 
 
+@pytest.mark.parametrize("kind", ["given:latin:m", "family:latin:n", "family:cyrillic:f"])
+def test_many_names_get_distinct_surrogates(spark, kind):
+    key = b"k" * 32
+    forms = {f"name{i:05d}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(10000)}
+    again = {r["form"]: r["attempt"] for r in pii.redraws(spark.createDataFrame([(kind, f) for f in forms], "kind string, form string"), key).collect()}
+    made = {pii.surrogate(kind, f, key, again.get(f, 0)) for f in forms}
+    assert len(made) == len(forms) and not made & forms
+
+
+def test_documents_with_many_titled_names(spark):
+    names = ["N" + f"{i:05d}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(10000)]
+    rows = [(i, f"Mr {n} came") for i, n in enumerate(names)] + [(10000 + i, f"then Mr {n}") for i, n in enumerate(names)]
+    for held in (100_000, 100):
+        out = {r["doc_id"]: r["text"].split("Mr ")[1].split(" ")[0] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), held=held).collect()}
+        assert len(set(out.values())) == 10000 and not set(out.values()) & set(names)
+        assert all(out[i] == out[10000 + i] for i in range(10000))
+
+
 def brute_statistics(text):
     w = WORD.findall(text or "")
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]

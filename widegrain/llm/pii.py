@@ -6,7 +6,8 @@ kept. Numbers, codes and addresses go through a keyed permutation of all strings
 format, which keeps length, signs, case, country code, check digit and octet range; names
 are composed from syllables of their script with an ending of their gender. The distinct
 entities of the corpus are then checked: a surrogate that two entities share, or that is
-itself an entity of the corpus, is drawn again until all are distinct.
+itself an entity of the corpus, is drawn again, names with one more syllable each time,
+until all are distinct.
 """
 
 from __future__ import annotations
@@ -172,8 +173,10 @@ def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
     if ":" in kind:
         role, script, gender = kind.split(":")
         parts = SYLLABLES[script]
-        x = _draw(key, f"{role}|{script}|{attempt}", int.from_bytes(form.encode(), "big"), len(parts) ** 4)
-        body = "".join(parts[x >> s & 15] for s in ((0, 4) if role == "given" and x >> 14 else (0, 4, 8)))
+        # A syllable more for each attempt: the space outgrows any number of entities.
+        x = _draw(key, f"{role}|{script}|{attempt}", int.from_bytes(form.encode(), "big"), len(parts) ** (4 + attempt))
+        short = role == "given" and not attempt and x >> 14
+        body = "".join(parts[x >> 4 * i & 15] for i in range(2 if short else 3 + attempt))
         return body + (GIVEN_END if role == "given" else FAMILY_END)[script][gender]
     return permute_text(form, key, label)
 
