@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from widegrain.llm.common import save, table
 from widegrain.llm.language_id import identified
-from widegrain.llm.line_dedup import dedup_lines
+from widegrain.llm.line_dedup import dedup_blocks
 from widegrain.llm.packing import pack
 from widegrain.llm.pii import replace_pii
 from widegrain.llm.shingle_dedup import shingle_keep_first
@@ -29,7 +29,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the blocks of lines that earlier ones have."""
-    return _with_text(docs, dedup_lines(docs))
+    return _with_text(docs, dedup_blocks(docs))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -217,6 +217,18 @@ def test_frequent_lines_need_a_long_block(spark):
     assert all(found[i] == 0 for i in range(80)) and found[100] == 0 and all(found[100 + i] == 1 for i in range(1, 80))
 
 
+def test_query_and_stage_delete_blocks_of_any_group_size(spark, tmp_path):
+    import corpus_pipeline
+
+    line = "a common line that very many documents share"
+    for n in (3, 64, 65, 200):
+        rows = [(i, f"{line}\nbut document {i} has this other line as its own") for i in range(n)]
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{n}/documents.parquet")
+        for out in (line_dedup.query(spark, f"{tmp_path}/{n}"), corpus_pipeline.line_stage(spark, docs, "")):
+            assert [r["doc_id"] for r in out.collect() if line in r["text"]] == [0]
+
+
 # -- embeddings
 
 

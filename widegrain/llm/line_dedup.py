@@ -5,9 +5,9 @@ so every key is unique within a document, as patience diff asks of its anchors.
 shared key leads a document to the first document that has it: one partner row per line,
 however many documents share it, instead of all pairs. Document and partner are aligned
 by patience (longest increasing run of anchor places); runs of aligned lines are blocks,
-and a block that holds a rare line is deleted from the later document. Lines that many
-documents share don't make a partner by themselves: a block of frequent lines only goes
-if it is long, which is the exact way for copies in large groups.
+and a block of enough words is deleted from the later document. The query and the pipeline
+ask the same length of every block, however many documents share its lines; `dedup_lines`
+can ask for more words where no line of a block is rare, and does so by default.
 """
 
 from __future__ import annotations
@@ -198,6 +198,11 @@ def dedup_lines(docs: DataFrame, rare_docs: int = RARE_DOCS, rare_words: int = R
     return out.select(*order, "n_lines", "n_removed_lines")
 
 
+def dedup_blocks(docs: DataFrame, words: int = RARE_WORDS) -> DataFrame:
+    """`dedup_lines` with one length for all blocks, whether their lines are rare or not."""
+    return dedup_lines(docs, rare_words=words, frequent_words=words)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op4 over all documents: the cleaned text and how many of its lines went."""
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return dedup_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
