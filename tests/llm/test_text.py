@@ -230,6 +230,25 @@ def test_documents_with_many_titled_names(spark):
         assert all(out[i] == out[10000 + i] for i in range(10000))
 
 
+@pytest.mark.parametrize("name", ["McDonald", "Dvořák", "Dvor\u030ca\u0301k", "O'Brien", "O’Brien", "D'angelo", "Łukasz", "Παπαδόπουλος", "Őrsi", "Ґалаґан", "SMITH", "Smith-McKay", "Չարենց"])
+def test_names_are_whole_words_of_any_cased_script(name):
+    text = f"Mr {name}'s house. Later {name} said: {name.lower()}x, {name}x and {name}."
+    assert [text[a:b] for a, b, _, _ in pii.detect(text)] == [name] * 3
+    done, n = pii.rewrite(text, b"k" * 32, {})
+    made = re.match(r"Mr ([\w-]+)'s house\. Later (.*) said: .*x and (.*)\.$", done)
+    assert n == 3 and made[1] == made[2] == made[3] != name
+
+
+def test_further_mentions_go_with_the_titled_one(spark):
+    text = "Schmidt came. Mrs Anna Schmidt sat; later Schmidt said to Anna: schmidt, Schmidts and anna@schmidt.com stay in type. Dr SCHMIDT"
+    found = [(text[a:b], k.split(":")[0]) for a, b, k, _ in pii.detect(text)]
+    assert found == [("Schmidt", "family"), ("Anna", "given"), ("Schmidt", "family"), ("Schmidt", "family"), ("Anna", "given"), ("anna@schmidt.com", "email"), ("SCHMIDT", "family")]
+    out = {r["doc_id"]: r for r in pii.replace_pii(spark.createDataFrame([(1, text), (2, "Schmidt without a title")], "doc_id long, text string")).collect()}
+    made = re.search(r"Mrs (\w+) (\w+) sat", out[1]["text"])
+    assert out[1]["n_replaced"] == 7 and f"later {made[2]} said to {made[1]}:" in out[1]["text"] and out[1]["text"].startswith(made[2]) and out[1]["text"].endswith(made[2].upper())
+    assert out[2]["text"] == "Schmidt without a title"
+
+
 def brute_statistics(text):
     w = WORD.findall(text or "")
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]

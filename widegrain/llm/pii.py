@@ -13,10 +13,12 @@ until all are distinct.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 from math import isqrt
+from unicodedata import category, normalize
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,12 +39,32 @@ TITLES = {
 SYLLABLES = {
     "latin": ["ba", "del", "fi", "gar", "hol", "jen", "ka", "lor", "mi", "nat", "pe", "ros", "sal", "tem", "vi", "wen"],
     "cyrillic": ["ба", "дел", "фи", "гар", "хол", "жен", "ка", "лор", "ми", "нат", "пе", "рос", "сал", "тем", "ви", "зен"],
+    "greek": ["βα", "δελ", "φι", "γαρ", "χολ", "ζεν", "κα", "λορ", "μι", "νατ", "πε", "ροσ", "σαλ", "τεμ", "βι", "θεν"],
 }
-GIVEN_END = {"latin": {"m": "on", "f": "ina", "n": "is"}, "cyrillic": {"m": "ан", "f": "ина", "n": "ис"}}
-FAMILY_END = {"latin": {"m": "er", "f": "er", "n": "er"}, "cyrillic": {"m": "ов", "f": "ова", "n": "ко"}}
+GIVEN_END = {"latin": {"m": "on", "f": "ina", "n": "is"}, "cyrillic": {"m": "ан", "f": "ина", "n": "ис"}, "greek": {"m": "ων", "f": "ινα", "n": "ις"}}
+FAMILY_END = {"latin": {"m": "er", "f": "er", "n": "er"}, "cyrillic": {"m": "ов", "f": "ова", "n": "ко"}, "greek": {"m": "ιδης", "f": "ιδου", "n": "ακη"}}
 
 _TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-_WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
+
+
+def _class(*wanted: str) -> str:
+    """The characters of the given categories, as ranges of a character class."""
+    out: list[list[int]] = []
+    for c in range(0x1E944):
+        if category(chr(c)) in wanted:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" if a < b else chr(a) for a, b in out)
+
+
+_UPPER = _class("Lu", "Lt")
+_PART = _class("Lu", "Lt", "Ll", "Lm", "Lo", "Mn", "Mc")
+_APOSTROPHES = "'’ʼ"
+#: A whole word with a capital first, of two letters or more; a possessive 's is not part of it.
+_PIECE = rf"[{_UPPER}](?:[{_PART}]|[{_APOSTROPHES}](?!s(?![{_PART}]))(?=[{_PART}]))++"
+_WORD = rf"{_PIECE}(?:[-‐‑]{_PIECE})*+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: (type, quick test, pattern); group `v`, if there is one, is the entity.
 DETECTORS: list[tuple[str, Callable[[str], bool], re.Pattern]] = [
@@ -57,6 +79,7 @@ DETECTORS: list[tuple[str, Callable[[str], bool], re.Pattern]] = [
 ]
 _DIGIT = re.compile(r"\d")
 _NAMES = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(map(re.escape, _TITLE_GENDER), key=len, reverse=True))})\.? (?P<name>{_WORD}(?: {_WORD}){{0,2}})")
+_CAPITALISED = re.compile(rf"(?<![\w{_PART}{_APOSTROPHES}]){_WORD}")
 _NEEDS_DIGIT = {"iban", "ip", "card", "ssn", "phone"}
 
 
@@ -71,23 +94,40 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             a, b = m.span("v") if "v" in pattern.groupindex else m.span()
             if all(b <= x or a >= y for x, y, _, _ in found):
                 found.append((a, b, kind, normal(kind, text[a:b])))
+    named: dict[str, str] = {}
     for m in _NAMES.finditer(text):
         gender, at = _TITLE_GENDER[m["title"]], m.start("name")
         words = m["name"].split(" ")
         for i, w in enumerate(words):
             if all(at + len(w) <= x or at >= y for x, y, _, _ in found):
                 role = "family" if i == len(words) - 1 else "given"
-                found.append((at, at + len(w), f"{role}:{_script(w)}:{gender if role == 'given' or _script(w) == 'cyrillic' else 'n'}", w.lower()))
+                kind = f"{role}:{_script(w)}:{gender if role == 'given' or _script(w) != 'latin' else 'n'}"
+                found.append((at, at + len(w), kind, normal(kind, w)))
+                named.setdefault(normal(kind, w), kind)
             at += len(w) + 1
+    if named:
+        # The same words without a title are further mentions.
+        taken = sorted(found)
+        starts = [x[0] for x in taken]
+        for m in _CAPITALISED.finditer(text):
+            kind = named.get(form := normal("family:", m[0]))
+            i = bisect_left(starts, m.end())
+            if kind and (not i or taken[i - 1][1] <= m.start()):
+                found.append((m.start(), m.end(), kind, form))
     return sorted(found)
 
 
 def _script(word: str) -> str:
-    return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "latin"
+    first = word[0]
+    if "Ѐ" <= first <= "ԯ":
+        return "cyrillic"
+    return "greek" if "Ͱ" <= first <= "Ͽ" or "ἀ" <= first <= "῿" else "latin"
 
 
 def normal(kind: str, text: str) -> str:
     """The form in which mentions of one entity agree."""
+    if ":" in kind:
+        return re.sub(f"[{_APOSTROPHES}]", "'", normalize("NFC", text).lower())
     if kind in ("card", "ssn", "phone"):
         d = "".join(c for c in text if c.isdigit())
         return d[-10:] if kind == "phone" and len(d) > 10 else d
@@ -184,7 +224,7 @@ def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
 def lay_out(kind: str, shown: str, form: str) -> str:
     """A surrogate's normal form in the layout of the mention it replaces."""
     if ":" in kind:
-        return form[:1].upper() + form[1:]
+        return form.upper() if shown.isupper() else form[:1].upper() + form[1:]
     if kind in ("card", "ssn", "phone", "iban"):
         slots = [i for i, c in enumerate(shown) if (c != " " if kind == "iban" else c.isdigit())]
         out = list(shown)
