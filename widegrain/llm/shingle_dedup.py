@@ -26,8 +26,8 @@ from widegrain.llm.simhash_dedup import BUCKET_ROWS, HELD_BUCKETS, U64, shingle_
 #: Least Jaccard similarity of a link, as a fraction.
 NUM, DEN = 4, 5
 #: Documents whose shingles are counted for the order, and the least count that is noted.
-SAMPLE_DOCS = 50_000
-OFTEN = 8
+SAMPLE_DOCS = 10_000
+OFTEN = 4
 #: Neighbours that each row of a bucket meets before all pairs do.
 NEIGHBOURS = 4
 PARITY = ("b0", "b1", "b2", "b3")
@@ -199,22 +199,23 @@ def shingle_components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id"
             )
 
     prints = save(map_arrow(rows, run, "doc_id long, doc long, part long, node long, n int, b0 long, b1 long, b2 long, b3 long, first array<long>"))
-    classes = save(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc", "part")).alias("at")))
-    own = prints.join(classes.select(F.col("node").alias("__n"), "at"), (F.col("node") == F.col("__n")) & (F.col("doc") == F.col("at.doc")) & (F.col("part") == F.col("at.part")))
-    keyed = own.select("node", "n", F.posexplode("first").alias("place", "k")).select("k", "node", "n", "place").repartition("k").sortWithinPartitions("k", "node")
+    classes = save(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc", "part")).alias("at"), F.count("*").alias("rows")))
+    copied = save(classes.where("rows > 1").select(F.col("node").alias("__n"), "at"))
+    own = prints.join(copied, (F.col("node") == F.col("__n")) & ((F.col("doc") != F.col("at.doc")) | (F.col("part") != F.col("at.part"))), "left_anti")
+    keyed = own.select("node", F.posexplode("first").alias("place", "k")).select("k", "node", "place").repartition("k").sortWithinPartitions("k", "node")
 
     def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows whose key another node has too; a repeated row goes."""
-        for k, node, n, place in _runs(batches, 1):
+        for k, node, place in _runs(batches, 1):
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]) | (node[1:] != node[:-1])
-            k, node, n, place = k[new], node[new], n[new], place[new]
+            k, node, place = k[new], node[new], place[new]
             same = k[1:] == k[:-1]
             two = np.append(same, False) | np.append(False, same)
-            yield pa.RecordBatch.from_arrays([pa.array(x[two]) for x in (k, node, n, place)], ["k", "node", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[two]) for x in (k, node, place)], ["k", "node", "place"])
 
-    met = map_arrow(keyed, meeting, "k long, node long, n int, place int")
-    shared = save(met.join(prints.select("node", *PARITY).dropDuplicates(["node"]), "node"))
+    met = map_arrow(keyed, meeting, "k long, node long, place int")
+    shared = save(met.join(prints.select("node", "n", *PARITY).dropDuplicates(["node"]), "node"))
     links = _verified(save(_candidates(shared.withColumn("root", F.col("node")), NEIGHBOURS)), classes, rows, shingle)
     groups = save(connected_components(links))
     rooted = shared.join(groups.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
