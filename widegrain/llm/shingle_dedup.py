@@ -30,6 +30,8 @@ SAMPLE_DOCS = 10_000
 OFTEN = 4
 #: Neighbours that each row of a bucket meets before all pairs do.
 NEIGHBOURS = 4
+#: Nodes up to which they are broadcast to find their texts; beyond it texts are shuffled.
+HELD_NODES = 2_000_000
 PARITY = ("b0", "b1", "b2", "b3")
 NO_ID = (1 << 63) - 1
 
@@ -146,7 +148,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: in
     """The pairs whose sets have Jaccard >= NUM / DEN."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     at = classes.join(wanted, "node").select("node", F.col("at.doc").alias("d"), F.col("at.part").alias("p"))
-    texts = rows.join(at, (F.col("doc") == F.col("d")) & (F.col("part") == F.col("p"))).select("node", "text").dropDuplicates(["node"])
+    at = save(at)
+    few = at.limit(HELD_NODES + 1).count() <= HELD_NODES
+    texts = rows.join(F.broadcast(at) if few else at, (F.col("doc") == F.col("d")) & (F.col("part") == F.col("p"))).select("node", "text").dropDuplicates(["node"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, U64)
