@@ -55,7 +55,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: No stage but the line rules can be said in SQL; tests hold run() against brute force.
+#: No stage but the line rules can be said in SQL; tests hold the near-dedup stage against all pairs, not run() as a whole.
 ORACLE_SQL: str | None = None
 
 
