@@ -5,7 +5,7 @@ from widegrain.authoring import draft, grid
 from widegrain.authoring.emit import emit
 from widegrain.engine import Engine
 from widegrain.functions import names
-from widegrain.plans.model import WideTable
+from widegrain.plans.model import Time, WideTable
 from widegrain.plans.rules import errors
 from widegrain.sources.introspect import distinct_values, introspect, sample_rows
 
@@ -46,12 +46,14 @@ def test_grid_to_manifest_builds(spark, tmp_path):
     assert grid.cycle(state, "satisfaction_score", target) == "sum_over_sum"
     grid.cycle(state, "satisfaction_score", target)
     state.move(1)
+    state.time = Time("Month", "day", "month", "days", ("Month",))
     source = str(tmp_path / "db")
     draft.save_draft(state, source)
     again = draft.load_draft(source)
     assert again == state and draft.load_draft(source + "x") is None
     draft.delete_draft(source)
     assert draft.load_draft(source) is None
+    again.time = None
     manifest = grid.build_manifest(again)
     assert not errors(manifest)
     assert Engine(spark, manifest, U.catalog(spark)).table("t").count() == 90
@@ -69,7 +71,7 @@ def test_emit_and_command_line(tmp_path):
     path = tmp_path / "m.yaml"
     path.write_text(U.MAIN)
     files = emit(U.manifest(), str(tmp_path / "out"), "data")
-    assert files[-1].endswith("run.sh") and len(files) == 6
+    assert files[-1].endswith("run.sh") and len(files) == 7
     assert main(["validate", str(path)]) == 0 and main(["estimate", str(path)]) == 0
     path.write_text(U.MAIN.replace("strategy: elimination", "strategy: split"))
     assert main(["emit", str(path), "--out", str(tmp_path / "no")]) == 1 and main(["validate", str(tmp_path / "none.yaml")]) == 1

@@ -3,9 +3,10 @@
 import pytest
 import university as U
 from test_queries import rows
+from test_queries import same as same_rows
 
 from widegrain import queries as Q
-from widegrain.authoring.sql import table_sql
+from widegrain.authoring.sql import checks_sql, table_sql
 from widegrain.engine import Engine
 from widegrain.plans.planner import plan_table
 
@@ -16,6 +17,7 @@ CASES = {
     "summarize": ("Part", "order_total retail_price", {"order_total": [Q.ELIM_OP]}),
     "mixed": ("Order Part", "order_total customer_balance", {"order_total": [Q.ALLOC_OP], "customer_balance": [Q.CO_ALLOC]}),
     "stock": ("Customer", "open_orders month_revenue", {}),
+    "counts": ("Order Part", "order_count line_count", {"order_count": [Q.ALLOC_OP]}),
     "global": ("Region", "order_total", {}),
 }
 
@@ -27,7 +29,11 @@ def same(spark, manifest, catalog, name):
     found = spark.sql(statement[statement.index("WITH") :].rstrip(";\n"))
     want = Engine(spark, manifest, catalog).table(name)
     assert found.columns == want.columns
-    assert rows(found.collect(), found.columns) == rows(want.collect(), want.columns)
+    assert same_rows(rows(found.collect(), found.columns), rows(want.collect(), want.columns))
+    want.createOrReplaceTempView(name)
+    plan = plan_table(manifest, name)
+    checked = {r["test"].partition(".")[2]: r["result"] for r in spark.sql(checks_sql(manifest, plan)).collect()}
+    assert checked == {r["test"]: r["result"].partition(":")[0] for r in Engine(spark, manifest, catalog).checks(name).collect()}
 
 
 @pytest.mark.parametrize("name", ["department_financial", "student_experience", "class_summary"])

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 import os
 
-from widegrain.authoring.sql import table_sql
+from widegrain.authoring.sql import checks_sql, table_sql
 from widegrain.plans.manifest_yaml import serialize_manifest
 from widegrain.plans.model import Manifest
-from widegrain.plans.planner import plan_all
+from widegrain.plans.planner import plan_all, plan_table
+
+
+RUN = """#!/bin/sh
+set -e
+cd "$(dirname "$0")"
+cat [0-9]*.sql > .all.sql
+"${SPARK_SQL:-spark-sql}" -f .all.sql > .result.txt
+grep -E '(PASS|FAIL)$' .result.txt
+if grep -q 'FAIL$' .result.txt; then exit 1; fi
+"""
 
 
 def load_sql(manifest: Manifest, folder: str, form: str = "csv") -> str:
@@ -29,12 +39,16 @@ def plan_text(manifest: Manifest, table: str) -> str:
 
 
 def emit(manifest: Manifest, out: str, folder: str, form: str = "csv") -> list[str]:
-    """Write 00_load_data.sql, a file for each table, the manifest and run.sh; their paths."""
+    """Write 00_load_data.sql, a file for each table, 99_checks.sql, the manifest and run.sh; their paths.
+
+    run.sh builds the tables, prints PASS or FAIL for each check, and ends with 1 if one fails.
+    """
     os.makedirs(out, exist_ok=True)
     files = {"00_load_data.sql": load_sql(manifest, folder, form), "manifest.yaml": serialize_manifest(manifest)}
     for i, t in enumerate(manifest.tables, 1):
         files[f"{i:02d}_{t.name}.sql"] = plan_text(manifest, t.name)
-    files["run.sh"] = '#!/bin/sh\nset -e\ncd "$(dirname "$0")"\ncat [0-9]*.sql > .all.sql\nspark-sql -f .all.sql\n'
+    files["99_checks.sql"] = "".join(f"{checks_sql(manifest, plan_table(manifest, t.name))};\n" for t in manifest.tables)
+    files["run.sh"] = RUN
     paths = []
     for name, body in files.items():
         path = os.path.join(out, name)

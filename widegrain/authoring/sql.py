@@ -9,7 +9,8 @@ from __future__ import annotations
 from widegrain.functions.names import label_output
 from widegrain.functions.periods import DAYS, MONTHS
 from widegrain.operators.weights import count_name, rows_name
-from widegrain.plans.model import Manifest
+from widegrain.plans.model import Manifest, Metric
+from widegrain.operators.checks import SUM_TOLERANCE, WEIGHT_TOLERANCE
 from widegrain.plans.planner import GrainGroup, MetricPlan, TablePlan, join_links
 from widegrain.sources.catalog import Catalog
 
@@ -22,6 +23,10 @@ def text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def number(m: Metric) -> str:
+    return "CAST(1 AS DOUBLE)" if m.counts else f"CAST({q(m.column)} AS DOUBLE)"
+
+
 def pair(e: str) -> str:
     return f"{q(f'id_{e}')}, {q(f'lb_{e}')}"
 
@@ -48,7 +53,7 @@ class TableSql:
     def _entity(self, e: str, plans: list[MetricPlan]) -> str:
         entity = self.manifest.entity(e)
         cols = [f"{q(entity.id)} AS {q(f'id_{e}')}", f"CAST({q(entity.label)} AS STRING) AS {q(f'lb_{e}')}"]
-        cols += [f"CAST({q(p.metric.column)} AS DOUBLE) AS {q(f'm_{p.name}')}" for p in plans if p.home.relationship is None and p.home.name == e]
+        cols += [f"{number(p.metric)} AS {q(f'm_{p.name}')}" for p in plans if p.home.relationship is None and p.home.name == e]
         for r in self.manifest.relationships:
             if Catalog().held_by(self.manifest, r) == e:
                 cols.append(f"{q(self.manifest.link_column(r, r.other(e)))} AS {q(f'f_{r.name}')}")
@@ -60,7 +65,7 @@ class TableSql:
     def _links(self, r, plans: list[MetricPlan]) -> str:
         keys = [self.manifest.link_column(r, e) for e in r.between]
         cols = [f"{q(k)} AS {q(f'l_{r.name}_{e}')}" for k, e in zip(keys, r.between)]
-        cols += [f"{'SUM' if p.additive else 'AVG'}(CAST({q(p.metric.column)} AS DOUBLE)) AS {q(f'm_{p.name}')}" for p in plans if p.home.relationship == r.name]
+        cols += [f"{'SUM' if p.additive else 'AVG'}({number(p.metric)}) AS {q(f'm_{p.name}')}" for p in plans if p.home.relationship == r.name]
         return f"(SELECT {', '.join(cols)} FROM {q(r.table)} GROUP BY {', '.join(map(q, keys))})"
 
     def _joined(self, links: list, first: str, plans: list[MetricPlan]) -> str:
@@ -132,11 +137,46 @@ class TableSql:
                 rows = f"(SELECT DISTINCT {', '.join(pair(e) for e in p.grain)}, {self._allocated(p)} AS {own[p.name]} FROM {q(name)})"
                 out.append(self._select(rows, p.grain, own, {}, reserve))
             elif p.reserved:
-                links = join_links(self.manifest, p.home.grain) if p.home.relationship is None else [(*p.home.grain, self.manifest.relationship(p.home.relationship))]
-                out.append(self._select(f"(SELECT * FROM {self._joined(links, p.home.grain[0], [p])})", p.home.grain, own, {}, reserve))
+                out.append(self._select(self._home(p), p.home.grain, own, {}, reserve))
             out += [self._select(self._corrected(name, p, i), p.anchors(i), own, {}, self.manifest.elimination_label) for i in p.hops_by("elimination")]
         return out
 
+    def _home(self, p: MetricPlan) -> str:
+        """All rows of the metric's home."""
+        links = join_links(self.manifest, p.home.grain) if p.home.relationship is None else [(*p.home.grain, self.manifest.relationship(p.home.relationship))]
+        return f"(SELECT * FROM {self._joined(links, p.home.grain[0], [p])})"
+
+    def checks(self) -> list[str]:
+        """A query for each check, of one row (test, result); see `operators.checks`."""
+        time, name = self.manifest.time, q(self.plan.table.name)
+        timed = set(time.time_entities or (time.entity,)) if time else set()
+        key = lambda e: q(self.manifest.entity(e).id)
+
+        def verdict(test: str, bad: str) -> str:
+            return f"SELECT {text(f'{self.plan.table.name}.{test}')} AS test, CASE WHEN {bad} THEN 'FAIL' ELSE 'PASS' END AS result"
+
+        out = [verdict("row_count", f"(SELECT COUNT(*) FROM {name}) = 0")]
+        for p in self.plan.metrics:
+            own, home = q(f"m_{p.name}"), self._home(p)
+            if not p.additive:
+                if not p.summarized:
+                    named = " AND ".join(f"{key(e)} IS NOT NULL" for e in p.grain)
+                    sums = f"SELECT SUM({q(f'{p.name}_weight')}) AS w FROM {name} WHERE {named} GROUP BY {', '.join(key(e) for e in p.home.grain)}"
+                    out.append(verdict(f"weights_{p.name}", f"EXISTS (SELECT 1 FROM ({sums}) WHERE ABS(COALESCE(w, 0) - 1) > {WEIGHT_TOLERANCE})"))
+                continue
+            if not (p.metric.stock and set(p.summarized) & timed):
+                out.append(verdict(f"sum_{p.name}", f"ABS((SELECT COALESCE(SUM({q(p.name)}), 0) FROM {name}) - (SELECT COALESCE(SUM({own}), 0) FROM {home})) >= {SUM_TOLERANCE}"))
+            if self.plan.summarizing:
+                continue
+            if p.reserved:
+                named = " OR ".join(f"{key(e)} IS NOT NULL" for e in p.reserved)
+                out.append(verdict(f"reserve_{p.name}", f"EXISTS (SELECT 1 FROM {name} WHERE ({named}) AND {q(p.name)} <> 0)"))
+            elif p.home.relationship is None and p.hops and len(p.hops_by("allocation")) == len(p.hops):
+                e = p.home.grain[0]
+                sums = f"SELECT {key(e)} AS k, SUM({q(p.name)}) AS t FROM {name} GROUP BY {key(e)}"
+                out.append(verdict(f"per_home_{p.name}", f"EXISTS (SELECT 1 FROM ({sums}) JOIN {home} ON k = {q(f'id_{e}')} WHERE ABS(t - {own}) > {SUM_TOLERANCE})"))
+        return out
+
     def _summary(self, group: GrainGroup, number: int) -> str:
         plans, time = list(group.metrics), self.manifest.time
         name = self._base(f"summary{number}", group.grain, plans)
@@ -173,5 +213,9 @@ class TableSql:
         return f"CAST({DAYS[size]} AS BIGINT)" if size in DAYS else f"CAST(DATEDIFF(ADD_MONTHS(`period`, {MONTHS[size]}), `period`) AS BIGINT)"
 
 
+def checks_sql(manifest: Manifest, plan: TablePlan) -> str:
+    return "\nUNION ALL\n".join(TableSql(manifest, plan).checks())
+
+
 def table_sql(manifest: Manifest, plan: TablePlan) -> str:
     return TableSql(manifest, plan).statement()

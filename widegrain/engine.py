@@ -37,8 +37,10 @@ class Engine:
     def table(self, name: str) -> DataFrame:
         return Assembly(self.manifest, self.catalog, self.plan(name), self.options).build()
 
-    def checks(self, name: str, built: DataFrame | None = None) -> DataFrame:
-        return check_table(self.manifest, self.catalog, self.plan(name), built if built is not None else self.table(name))
+    def checks(self, name: str, built: DataFrame | None = None, estimated: bool = False) -> DataFrame:
+        """(test, result) rows; with `estimated`, the rows are held against the declared cardinalities too."""
+        expected = estimate_table_rows(self.manifest, name)["total"] if estimated else None
+        return check_table(self.manifest, self.catalog, self.plan(name), built if built is not None else self.table(name), expected)
 
     def combination_rows(self, name: str) -> DataFrame:
         """Rows on which every entity is named; dropping the others breaks reserve and elimination sums."""

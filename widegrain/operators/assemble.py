@@ -50,6 +50,10 @@ class Assembly:
         twice = sorted({n for n in outputs if outputs.count(n) > 1})
         if twice:
             raise ValueError(f"output columns collide: {', '.join(twice)}")
+        for m in plan.metrics:
+            table = manifest.relationship(m.home.name).table if m.home.relationship else manifest.entity(m.home.name).table
+            if not m.metric.counts and m.metric.column not in catalog.table(table).columns:
+                raise ValueError(f"metric {m.name}: source table {table} has no column {m.metric.column}")
 
     def build(self) -> DataFrame:
         branches: list[DataFrame] = []
@@ -124,11 +128,14 @@ class Assembly:
         rows, anchors = self._corrected(base, p, hop)
         return self._select(rows, anchors, {p.name: F.col(value_of(p.name))}, {}, self.eliminated)
 
-    def _orphans(self, base: DataFrame, p: MetricPlan) -> DataFrame:
+    def _unlinked(self, base: DataFrame, p: MetricPlan) -> DataFrame:
+        """Home rows that the base rows leave out."""
         home = home_rows(self.manifest, self.catalog, p.name)
         linked = base.select(*[F.col(id_of(e)).alias(f"__o_{e}") for e in p.home.grain]).distinct()
-        rest = home.join(linked, [F.col(id_of(e)) == F.col(f"__o_{e}") for e in p.home.grain], "left_anti")
-        return self._select(rest, p.home.grain, {p.name: F.col(value_of(p.name))}, {}, self.reserve)
+        return home.join(linked, [F.col(id_of(e)) == F.col(f"__o_{e}") for e in p.home.grain], "left_anti")
+
+    def _orphans(self, base: DataFrame, p: MetricPlan) -> DataFrame:
+        return self._select(self._unlinked(base, p), p.home.grain, {p.name: F.col(value_of(p.name))}, {}, self.reserve)
 
     # -- rows with entities summarized out
 
@@ -149,13 +156,17 @@ class Assembly:
         length = period_days(F.col("__date"), time.granularity) if timed and days else F.lit(None).cast("long")
         source = F.col("__date") if "__date" in base.columns else F.lit(None)
         parts = [base.select(*cols, *values, *weights, length.alias("__days"), source.alias("__period"), F.lit(True).alias("__real"))]
+        extra: list[tuple[DataFrame, tuple[str, ...], MetricPlan]] = []
         for p in plans:
-            for hop in p.hops_by("elimination") if p.additive and not (p.metric.stock and timed) else []:
-                rows, anchors = self._corrected(base, p, hop)
-                at = [F.col(c) if e in anchors else F.lit(None).cast(base.schema[c].dataType).alias(c) for e in keys for c in (id_of(e), label_of(e))]
-                fill = [(F.col(value_of(p.name)) if q is p else F.lit(None).cast("double")).alias(f"__v_{q.name}") for q in plans]
-                zero = [F.lit(0.0).alias(f"__u_{q.name}") for q in plans]
-                parts.append(rows.select(*at, *fill, *zero, F.lit(None).cast("long").alias("__days"), F.lit(None).cast(parts[0].schema["__period"].dataType).alias("__period"), F.lit(False).alias("__real")))
+            if p.additive and not (p.metric.stock and timed):
+                extra += [(*self._corrected(base, p, hop), p) for hop in p.hops_by("elimination")]
+                if self.options.orphans == "reserve" and p.hops:
+                    extra.append((self._unlinked(base, p), p.home.grain, p))
+        for rows, anchors, p in extra:
+            at = [F.col(c) if e in anchors else F.lit(None).cast(base.schema[c].dataType).alias(c) for e in keys for c in (id_of(e), label_of(e))]
+            fill = [(F.col(value_of(p.name)) if q is p else F.lit(None).cast("double")).alias(f"__v_{q.name}") for q in plans]
+            zero = [F.lit(0.0).alias(f"__u_{q.name}") for q in plans]
+            parts.append(rows.select(*at, *fill, *zero, F.lit(None).cast("long").alias("__days"), F.lit(None).cast(parts[0].schema["__period"].dataType).alias("__period"), F.lit(False).alias("__real")))
         rows = reduce(DataFrame.unionByName, parts)
         stocks = [p for p in plans if timed and p.metric.stock]
         result = rows.groupBy(*cols).agg(*[a for p in plans for a in self._totals(p, timed, days)])

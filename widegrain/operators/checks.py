@@ -13,6 +13,8 @@ from widegrain.plans.planner import MetricPlan, TablePlan
 from widegrain.sources.catalog import Catalog
 
 SUM_TOLERANCE, WEIGHT_TOLERANCE = 0.01, 0.001
+#: How far the rows of a table may be from their estimate, either way.
+ROW_FACTOR = 2
 
 
 def _verdict(name: str, ok: Column, detail: Column) -> list[Column]:
@@ -39,8 +41,9 @@ def per_home_check(manifest: Manifest, catalog: Catalog, built: DataFrame, p: Me
 def weight_check(manifest: Manifest, built: DataFrame, p: MetricPlan) -> DataFrame:
     """A non-additive metric's weights add up to 1 for each home row."""
     keys = [manifest.entity(e).id for e in p.home.grain]
-    rows = reduce(DataFrame.filter, [F.col(k).isNotNull() for k in keys], built)
-    off = rows.groupBy(*keys).agg(F.sum(f"{p.name}_weight").alias("w")).where((F.abs(F.col("w") - 1) > WEIGHT_TOLERANCE) & (F.col("w") != 0))
+    # Rows that name less than the metric's grain are placeholder rows of other metrics.
+    rows = reduce(DataFrame.filter, [F.col(manifest.entity(e).id).isNotNull() for e in p.grain], built)
+    off = rows.groupBy(*keys).agg(F.sum(f"{p.name}_weight").alias("w")).where(F.abs(F.coalesce("w", F.lit(0.0)) - 1) > WEIGHT_TOLERANCE)
     return off.agg(F.count("*").alias("n")).select(*_verdict(f"weights_{p.name}", F.col("n") == 0, F.col("n")))
 
 
@@ -51,11 +54,18 @@ def reserve_check(manifest: Manifest, built: DataFrame, p: MetricPlan) -> DataFr
     return off.agg(F.count("*").alias("n")).select(*_verdict(f"reserve_{p.name}", F.col("n") == 0, F.col("n")))
 
 
-def check_table(manifest: Manifest, catalog: Catalog, plan: TablePlan, built: DataFrame) -> DataFrame:
+def row_check(built: DataFrame, expected: int | None) -> DataFrame:
+    """There are rows; with an estimate, from half to twice as many."""
+    n = F.col("n")
+    ok = n > 0 if expected is None else (n * ROW_FACTOR >= expected) & (n <= expected * ROW_FACTOR)
+    return built.agg(F.count("*").alias("n")).select(*_verdict("row_count", ok, n))
+
+
+def check_table(manifest: Manifest, catalog: Catalog, plan: TablePlan, built: DataFrame, expected: int | None = None) -> DataFrame:
     """All checks that apply, as (test, result) with PASS or FAIL: and what is off."""
     time = manifest.time
     timed = set(time.time_entities or (time.entity,)) if time else set()
-    rows = [built.agg(F.count("*").alias("n")).select(*_verdict("row_count", F.col("n") > 0, F.col("n")))]
+    rows = [row_check(built, expected)]
     summarizes = bool(plan.summarizing)
     for p in plan.metrics:
         if p.additive:

@@ -30,7 +30,8 @@ class Weights:
 
     mode "join" counts distinct (anchors, target) pairs by partial aggregation and joins
     them back, which neither holds an anchor's targets in memory nor needs its rows in one
-    task; "window" uses a set per window partition and suits small fan-outs.
+    task; "window" holds an anchor's targets in one row and all its rows in one task: only
+    for anchors of small, bounded fan-out.
     """
 
     def __init__(self, manifest: Manifest, mode: str = "join", declared: bool = False):
@@ -60,7 +61,9 @@ class Weights:
             if self.mode == "window":
                 out = out.withColumn(name, F.size(F.collect_set(id_of(target)).over(Window.partitionBy(*keys))).cast("long"))
             else:
-                out = _with(out, rows.groupBy(*keys).agg(F.countDistinct(id_of(target)).alias(name)), keys)
+                # Base rows are distinct, so where they hold nothing but the hop's pairs a plain count will do.
+                n = F.count("*") if {*anchors, target} == set(grain) else F.countDistinct(id_of(target))
+                out = _with(out, rows.groupBy(*keys).agg(n.alias(name)), keys)
         for name, grain_of in repeats.items():
             keys = [id_of(a) for a in grain_of]
             if self.mode == "window":

@@ -26,8 +26,13 @@ _Loader.add_implicit_resolver("tag:yaml.org,2002:int", re.compile(r"^[-+]?[0-9]+
 _Loader.add_constructor("tag:yaml.org,2002:int", lambda loader, node: int(loader.construct_scalar(node)))
 
 
+def _column(raw) -> str | None:
+    """A column's name; the number 1 is the column of ones."""
+    return None if raw is None else str(raw)
+
+
 def _metrics(raw: Any) -> tuple[Metric, ...]:
-    return tuple(Metric(m["name"], m.get("type", "float"), m.get("nature", "additive"), m.get("source_column"), bool(m.get("stock", False))) for m in raw or [])
+    return tuple(Metric(m["name"], m.get("type", "float"), m.get("nature", "additive"), _column(m.get("source_column")), bool(m.get("stock", False))) for m in raw or [])
 
 
 def _hops(raw: Any) -> tuple[Hop, ...]:

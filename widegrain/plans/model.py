@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from widegrain.functions import names
 
+#: Names a manifest may use (fixed values).
 STRATEGIES = ("reserve", "elimination", "allocation", "sum_over_sum")
 METRIC_TYPES = ("currency", "integer", "float", "rating", "percentage", "score")
 GRANULARITIES = ("day", "week", "month", "quarter", "year")
@@ -29,6 +30,11 @@ class Metric:
     def column(self) -> str:
         return self.source_column or self.name
 
+    @property
+    def counts(self) -> bool:
+        """A metric made of ones, which counts the rows of its home."""
+        return self.column == "1"
+
 
 @dataclass(frozen=True)
 class Entity:

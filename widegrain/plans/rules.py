@@ -34,7 +34,7 @@ def _metrics(m: Manifest):
 
 def identifiers(m: Manifest) -> Findings:
     named = [(f"{part}.{o.name}", o.name) for part, o in _owners(m)] + [(f"bft_tables.{t.name}", t.name) for t in m.tables]
-    named += [(p, x.name) for p, x in _metrics(m)] + [(f"{p}.source_column", x.source_column) for p, x in _metrics(m)]
+    named += [(p, x.name) for p, x in _metrics(m)] + [(f"{p}.source_column", x.source_column) for p, x in _metrics(m) if not x.counts]
     for e in m.entities:
         named += [(f"entities.{e.name}.{k}", v) for k, v in (("source_table", e.source_table), ("id_column", e.id_column), ("label_column", e.label_column))]
     for r in m.relationships:
@@ -75,7 +75,7 @@ def relationship_ends(m: Manifest) -> Findings:
     for r in m.relationships:
         path = f"relationships.{r.name}.between"
         if len(r.between) != 2:
-            yield Finding("relationship-between-pair", f'Relationship "{r.name}" must connect exactly 2 entities', path)
+            yield Finding("relationship-between-pair", f'Relationship "{r.name}" needs two entities between which it lies', path)
         for e in r.between:
             if e not in known:
                 yield Finding("relationship-entity-exists", f'Relationship "{r.name}" references nonexistent entity "{e}"', path)
@@ -87,7 +87,7 @@ def propagations(m: Manifest) -> Findings:
         path = f"propagations.{p.metric}"
         home = homes.get(p.metric)
         if home is None:
-            yield Finding("propagation-metric-exists", f'Propagation references nonexistent metric "{p.metric}"', path)
+            yield Finding("propagation-metric-exists", f'No entity or relationship holds the propagated metric "{p.metric}"', path)
             continue
         if not p.path:
             yield Finding("propagation-path-nonempty", f'Propagation of "{p.metric}" has an empty path', path)
@@ -110,7 +110,7 @@ def propagations(m: Manifest) -> Findings:
             if h.strategy == "reserve":
                 yield Finding("propagation-no-reserve", f'"{p.metric}": reserve is the default and is not declared in a path', at)
             if h.strategy in ("allocation", "sum_over_sum") and not (isinstance(h.weight, str) and h.weight):
-                yield Finding("strategy-weight-required", f'"{p.metric}": strategy "{h.strategy}" requires a weight', at)
+                yield Finding("strategy-weight-required", f'"{p.metric}": a hop by "{h.strategy}" names no weight', at)
             if h.target_entity in reached:
                 yield Finding("propagation-no-cycle", f'"{p.metric}": path returns to "{h.target_entity}"', at)
             if not home.metric.additive and h.strategy in ("allocation", "elimination"):
@@ -128,7 +128,7 @@ def table_entities(m: Manifest) -> Findings:
             yield Finding("table-entities-nonempty", f'Table "{t.name}" has no entities', path)
         for i, e in enumerate(t.entities):
             if e in t.entities[:i]:
-                yield Finding("table-entity-unique", f'Table "{t.name}" lists entity "{e}" twice', path)
+                yield Finding("table-entity-unique", f'Table "{t.name}" names the entity "{e}" more than once', path)
             if e not in known:
                 yield Finding("table-entity-exists", f'Table "{t.name}" references nonexistent entity "{e}"', path)
         linked = [e for e in dict.fromkeys(t.entities) if e in known]
@@ -142,7 +142,7 @@ def table_metrics(m: Manifest) -> Findings:
         for i, x in enumerate(t.metrics):
             path = f"bft_tables.{t.name}.metrics.{x}"
             if x in t.metrics[:i]:
-                yield Finding("table-metric-unique", f'Table "{t.name}" lists metric "{x}" twice', path)
+                yield Finding("table-metric-unique", f'Table "{t.name}" names the metric "{x}" more than once', path)
             if x not in homes:
                 yield Finding("table-metric-exists", f'Table "{t.name}" references nonexistent metric "{x}"', path)
             elif not ({*homes[x].grain, *(h.target_entity for h in m.path(x))} & set(t.entities)):

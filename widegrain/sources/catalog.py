@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from widegrain.plans.model import Entity, Manifest, Relationship
+from widegrain.plans.model import Entity, Manifest, Metric, Relationship
 
 Loader = Callable[[str], DataFrame]
 
 
+def source_value(m: Metric) -> Column:
+    return F.lit(1.0) if m.counts else F.col(m.column).cast("double")
+
+
 class Catalog:
     """Looks a table up among given DataFrames first, then by a loader."""
 
@@ -49,7 +53,7 @@ class Catalog:
         """__id_E, __lb_E, __m_<metric> for each metric, and `extra` columns by name."""
         src = self.table(e.table)
         cols = [F.col(e.id).alias(f"__id_{e.name}"), F.col(e.label).cast("string").alias(f"__lb_{e.name}")]
-        cols += [F.col(m.column).cast("double").alias(f"__m_{m.name}") for m in e.metrics if m.column in src.columns]
+        cols += [source_value(m).alias(f"__m_{m.name}") for m in e.metrics if m.counts or m.column in src.columns]
         return src.select(*cols, *[F.col(c).alias(n) for n, c in (extra or {}).items()])
 
     def held_by(self, manifest: Manifest, r: Relationship) -> str | None:
@@ -67,7 +71,7 @@ class Catalog:
         """
         src = self.table(r.table)
         keys = [F.col(manifest.link_column(r, e)).alias(f"__l_{e}") for e in r.between]
-        values = [(F.sum if m.additive else F.avg)(F.col(m.column).cast("double")).alias(f"__m_{m.name}") for m in r.metrics]
+        values = [(F.sum if m.additive else F.avg)(source_value(m)).alias(f"__m_{m.name}") for m in r.metrics]
         if r.weight_column and r.weight_column in src.columns:
             values.append(F.sum(F.col(r.weight_column).cast("double")).alias(f"__w_{r.name}"))
         grouped = src.groupBy(*keys)
