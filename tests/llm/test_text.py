@@ -1,4 +1,5 @@
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -126,60 +127,70 @@ class TestSentencePiece:
         assert sentencepiece_codec.encode(empty).count() == 0
 
 
-def test_kneser_ney_is_a_distribution_and_separates(spark, awkward, empty):
-    texts = [sentence("cc", i) for i in range(40)]
-    counts = quality_lm.count_ngrams(spark.createDataFrame([(t,) for t in texts], "text string"))
-    context = int.from_bytes(b" th", "big")
-    grams = spark.range(256).selectExpr(f"{context} * 256 + id AS k").union(spark.range(256).selectExpr(f"{int.from_bytes(b'zzz', 'big')} * 256 + id"))
-    sums = quality_lm.log_probabilities(grams, counts).selectExpr("k div 256 AS x", "exp(lp) AS p").groupBy("x").sum("p").collect()
-    assert len(sums) == 2 and all(r[1] == pytest.approx(1.0) for r in sums)
-    rows = [(i, t, "cc") for i, t in enumerate(texts)] + [(100, "#@ 9$ qx! " * 30, "cc"), (101, None, "cc"), (102, "", None), (103, texts[0], None), (0, texts[0], "cc")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(100, 0), (None, 1), (3, None)], "doc_id long, quality int")
-    for shard in (1 << 22, 300):
-        found = {r["doc_id"]: r for r in quality_lm.classify(df, labels, shard_rows=shard).collect()}
-        assert all(found[i]["kept"] for i in (*range(40), 103)) and not any(found[i]["kept"] for i in (100, 101, 102))
-        first = found[5]["perplexity"] if shard > 300 else first
-        assert found[5]["perplexity"] == pytest.approx(first)
-    assert quality_lm.classify(awkward, labels).count() == awkward.count()
-    assert quality_lm.classify(empty, labels.where("false")).count() == 0
-
-
-def test_kneser_ney_equals_brute_force(spark):
-    texts = [sentence("aa", 1), sentence("bb", 2), "x"]
-    grams = Counter()
-    for t in texts:
-        raw = b"\0\0\0" + t.encode()
-        grams.update(raw[i : i + 4] for i in range(len(raw) - 3))
-    levels = {4: dict(grams)}
-    for n in (3, 2, 1):
+def kneser_ney(texts, cutoff):
+    """Log-perplexity of a text, from the definition, with plain dictionaries."""
+    symbols = lambda t: [int(x) for x in quality_lm.symbols(*text_buffer(pa.array([t])))[0]]
+    framed = lambda t: [1, 1, *symbols(t), 2] if t and symbols(t) else []
+    levels = {3: Counter(tuple(s[i : i + 3]) for s in map(framed, texts) for i in range(len(s) - 2))}
+    for n in (2, 1):
         levels[n] = Counter(g[1:] for g in levels[n + 1])
-
-    def discount(level):
+    ds = {}
+    for order, level in levels.items():
         n = [sum(1 for c in level.values() if c == i) for i in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
         raw = [i + 1 - (i + 2) * y * n[i + 1] / n[i] if n[i] else 0.0 for i in range(3)]
-        return [d if 0 < d < i + 1 else (0.5, 1.0, 1.5)[i] for i, d in enumerate(raw)]
-
-    ds = {n: discount(level) for n, level in levels.items()}
+        ds[order] = [d if 0 < d < i + 1 else (0.5, 1.0, 1.5)[i] for i, d in enumerate(raw)]
 
     def p(gram):
         if not gram:
-            return 1 / 256
+            return 1 / quality_lm.ALPHABET
         n = len(gram)
-        own = {g: c for g, c in levels[n].items() if g[:-1] == gram[:-1]}
-        if not own:
+        left = {g: c - ds[n][min(c, 3) - 1] if n < 3 or c >= cutoff else 0.0 for g, c in levels[n].items() if g[:-1] == gram[:-1]}
+        if not left:
             return p(gram[1:])
-        d = lambda c: ds[n][min(c, 3) - 1]
-        total = sum(own.values())
-        c = own.get(gram, 0)
-        return (c - d(c) if c else 0) / total + sum(d(x) for x in own.values()) / total * p(gram[1:])
-
-    probe = [b" der"[:4], b"lich", b"zzzz", b"\0\0\0x", b"tion", b"onzu"]
-    df = spark.createDataFrame([(int.from_bytes(g, "big"),) for g in probe], "k long")
-    counts = quality_lm.count_ngrams(spark.createDataFrame([(t,) for t in texts], "text string"))
-    found = {r["k"]: r["lp"] for r in quality_lm.log_probabilities(df, counts).collect()}
-    assert [found[int.from_bytes(g, "big")] for g in probe] == pytest.approx([np.log(p(g)) for g in probe])
+        total = sum(c for g, c in levels[n].items() if g[:-1] == gram[:-1])
+        return left.get(gram, 0.0) / total + (1 - sum(left.values()) / total) * p(gram[1:])
+
+    def perplexity(text):
+        s = framed(text)
+        return np.exp(-np.mean([np.log(p(tuple(s[i : i + 3]))) for i in range(len(s) - 2)])) if s else None
+
+    return perplexity
+
+
+def test_symbols():
+    ids, count = quality_lm.symbols(*text_buffer(pa.array(["ab1 $$x", None, "", " \n", "ab"])))
+    assert count.tolist() == [5, 0, 0, 0, 1] and ids[0] == ids[5] and ids[2] == ids[3] and len(set(ids.tolist())) == 4
+
+
+@pytest.mark.parametrize("cutoff", [1, 2])
+def test_perplexities_and_verdicts_equal_brute_force(spark, cutoff):
+    texts = {i: sentence("cc", i % 30) for i in range(60)} | {70: sentence("aa", 1), 71: "#@ 9$ qx! " * 8, 72: None, 73: "", 74: "of the of the ing", 75: "x"}
+    rows = [(i, t, "cc" if i % 2 else "dd") for i, t in texts.items()]
+    # Rows that share an id, in text or not, and rows without one.
+    rows += [(0, texts[0], "dd"), (0, "qqq rrr sss ttt uu v", "dd"), (None, texts[5], "cc"), (None, texts[5], "cc"), (None, "of of", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(71, 0), (70, 1), (70, 0), (None, 1), (74, None)], "doc_id long, quality int")
+    out_of = lambda i: zlib.crc32(str(i).encode()) % quality_lm.HELD_OUT == 0
+    learned = [t for i, t, _ in rows if i is not None and i < 60 and not out_of(i)]
+    want = kneser_ney(learned, cutoff)
+    judge = lambda t: np.log(want(t)) - quality_lm.CONFIDENCE / np.sqrt(len(quality_lm.trigrams(*text_buffer(pa.array([t])))[1]))
+    held = sorted(judge(t) for i, t, _ in rows if i is not None and i < 60 and out_of(i))
+    cut = np.ceil(held[int(np.ceil(len(held) * quality_lm.QUANTILE)) - 1] / quality_lm.BIN) * quality_lm.BIN
+    for few in (1 << 20, 40):
+        found = quality_lm.classify(df, labels, cutoff=cutoff, held_grams=few).collect()
+        table = spark.createDataFrame(found, "doc_id long, lang string, n_symbols long, perplexity double, threshold double, kept boolean")
+        assert table.count() == len(rows)
+        expect = Counter((i, lang, None if not want(t) else round(float(want(t)), 5), bool(want(t)) and bool(judge(t) <= cut)) for i, t, lang in rows)
+        assert Counter((r["doc_id"], r["lang"], None if r["perplexity"] is None else round(r["perplexity"], 5), r["kept"]) for r in found) == expect
+
+
+def test_quality_of_awkward_rows(spark, awkward, empty):
+    labels = spark.createDataFrame([(i, 1) for i in range(12)], "doc_id long, quality int")
+    assert quality_lm.classify(awkward, labels, held_ids=-1).count() == awkward.count()
+    assert quality_lm.classify(empty, labels.where("false")).count() == 0
+    uniform = quality_lm.classify(awkward, labels.where("false")).where("kept").collect()
+    assert uniform and all(r["perplexity"] == pytest.approx(quality_lm.ALPHABET) and r["threshold"] is None for r in uniform)
 
 
 MAIL = "Joe.Doe19@mail5.example.com"

@@ -1,18 +1,28 @@
-"""Quality by an interpolated modified Kneser-Ney model of trusted text.
-
-The model's symbols are UTF-8 bytes and its order is 4, so an n-gram is a 32-bit key.
-Counts, continuation counts, discounts and context weights are Spark aggregates over all
-trusted documents. The distinct n-grams of the whole corpus are joined to these tables,
-sharded by key, from the highest order down, which gives each its log-probability; these
-are few, because symbols are bytes, whatever the number of documents. Documents are then
-scored where they are read, against one bounded shard of that list at a time, and no
-text is shuffled. A document is kept if its perplexity is within a quantile of the
-trusted documents' perplexities in its language.
+"""Quality by an interpolated modified Kneser-Ney trigram model of trusted text.
+
+Symbols are runs of letters, runs of digits and single signs, hashed to 21 bits, so that a
+trigram is one 63-bit key; a text is framed by two start symbols and an end symbol. Counts
+are Spark aggregates over all trusted documents that are not held out, pre-counted in
+slices; what they gather grows with the input. As in most such models a trigram seen once
+is not kept as one: its mass goes to the weight of its context (`CUTOFF`).
+
+A text's log-probability is a sum of parts that each belong to one n-gram:
+
+    log p(w3 | w1 w2) = log p(w3) + log weight(w2) + gain(w2 w3) + log weight(w1 w2) + gain(w1 w2 w3)
+
+where a gain is what knowing that n-gram adds to the step below, and zero for n-grams that
+the model lacks. Parts of single symbols are an array bounded by the alphabet, and the
+most frequent n-grams are a list of bounded length: both go to the tasks that read the
+texts. All other n-grams of the documents are joined to the model's table by key, and the
+gains are added up for each document. No table passes through the driver, no document is
+scored twice, and the result does not depend on which n-grams are held by the tasks.
+
+A document is kept if its perplexity is within a quantile of that of held-out trusted
+documents in its language.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,52 +30,83 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from widegrain.llm import kernels
 from widegrain.llm.common import map_arrow, save, text_buffer, text_slices
 
-ORDER = 4
-ALPHABET = 256
-#: Log-probabilities that one scoring pass holds (16 bytes each at most).
-SHARD_ROWS = 4_000_000
+ORDER, BITS = 3, 21
+ALPHABET = 1 << BITS
+#: Symbols of the frame; zero stands before shorter keys.
+START, END, FIRST = 1, 2, 3
+#: Least count of a trigram that is kept as one.
+CUTOFF = 2
+#: Frequent n-grams that each task holds (16 bytes each); the others are joined.
+HELD_GRAMS = 1 << 20
 #: Trusted ids up to which they are broadcast; beyond it they are joined by shuffle.
 HELD_IDS = 2_000_000
-QUANTILE = 0.995
-#: Slack on the threshold, and width of the bins of log-perplexity it is read from.
-SLACK = 0.1
+#: Of this many trusted documents, by crc32 of the id, one is held out for the thresholds.
+HELD_OUT = 5
+QUANTILE = 0.99
 BIN = 0.001
-#: A text of n bytes may exceed the threshold by CONFIDENCE / sqrt(n) nats a byte, which is
-#: about two standard errors of its mean: short texts aren't judged by chance.
-CONFIDENCE = 2.0
-#: Trusted documents that a language needs for a threshold of its own.
+#: A mean over n symbols may exceed the threshold by CONFIDENCE / sqrt(n) nats, about one
+#: standard error, so that short texts aren't judged by chance.
+CONFIDENCE = 3.0
+#: Held-out trusted documents that a language needs for a threshold of its own.
 MIN_TRUSTED = 30
+#: Discounts used where the counts of counts that estimate one are missing.
+FALLBACK = (0.5, 1.0, 1.5)
 
-
-def ngram_keys(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The key of the n-gram that ends at each byte; zeros stand before a text's start."""
-    keys = np.zeros(len(buf), np.uint32)
-    at = np.arange(len(buf)) - np.repeat(offsets[:-1], np.diff(offsets))
-    for back in range(ORDER):
-        shifted = np.zeros(len(buf), np.uint32)
-        shifted[back:] = buf[: len(buf) - back]
-        shifted[at < back] = 0
-        keys |= shifted << np.uint32(8 * back)
-    return keys
+#: Classes of bytes: white space, letters (and all bytes beyond ASCII), digits, signs.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_CLASS[48:58] = 2
+
+
+def symbols(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts, and how many each text has."""
+    n = len(offsets) - 1
+    if not len(buf):
+        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+    kind = _CLASS[buf]
+    edge = np.ones(len(buf) + 1, bool)
+    edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 3)
+    edge[offsets] = True
+    cuts = np.flatnonzero(edge)
+    starts, ends = cuts[:-1], cuts[1:]
+    word = kind[starts] > 0
+    starts, ends = starts[word], ends[word]
+    h = kernels.span_hashes(buf, starts, ends)
+    return (h >> np.uint64(20)) % np.uint64(ALPHABET - FIRST) + np.uint64(FIRST), np.diff(np.searchsorted(starts, offsets))
+
+
+def trigrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of every trigram of every text that has a symbol."""
+    ids, count = symbols(buf, offsets)
+    held = np.flatnonzero(count)
+    size = count[held] + ORDER
+    ends = np.cumsum(size)
+    line = np.full(int(ends[-1]) if len(ends) else 0, START, np.uint64)
+    doc = np.repeat(held, size)
+    at = np.arange(len(line)) - np.repeat(ends - size, size)
+    last = np.repeat(size, size) - 1
+    line[(at >= 2) & (at < last)] = ids
+    line[ends - 1] = END
+    keep = np.flatnonzero(at >= 2)
+    b = np.uint64(BITS)
+    return doc[keep], line[keep - 2] << b << b | line[keep - 1] << b | line[keep] if len(keep) else line[:0]
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(k, c): n-grams of all texts and how often they occur, counted in slices first."""
+    """(k, c): trigrams of all texts and how often they occur, counted in slices first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            keys, counts = np.unique(ngram_keys(*text_buffer(part.column(0))), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["k", "c"])
+            keys, counts = np.unique(trigrams(*text_buffer(part.column(0)))[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["k", "c"])
 
     return map_arrow(docs.select("text"), run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
 
 
-#: Discounts used where the counts of counts that estimate one are missing.
-FALLBACK = (0.5, 1.0, 1.5)
-
-
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts for counts of one, two, and three or more.
 
@@ -78,112 +119,182 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(d if 0 < d < i else FALLBACK[i - 1] for i, d in enumerate(raw, 1))  # type: ignore[return-value]
 
 
-def _discount(d: tuple[float, float, float]) -> Column:
-    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-
-
-def model_tables(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For orders 4 to 1: (k, own) the discounted share of each n-gram in its context,
-    and (x, weight) the weight that a context gives to the next lower order."""
-    out, level = [], counts
-    for order in range(ORDER, 0, -1):
-        d = discounts(level)
-        context = F.shiftright("k", 8)
-        per = level.groupBy(context.alias("x")).agg(F.sum("c").alias("total"), F.sum(_discount(d)).alias("held"))
-        own = level.withColumn("x", context).join(per, "x").select("k", ((F.col("c") - _discount(d)) / F.col("total")).alias("own"))
-        out.append((own, per.select("x", (F.col("held") / F.col("total")).alias("weight"))))
-        # A lower order counts the different symbols seen before it.
-        level = save(level.groupBy(F.col("k").bitwiseAND((1 << 8 * (order - 1)) - 1).alias("k")).agg(F.count("*").alias("c")))
-    return out
-
-
-def log_probabilities(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """(k, lp): natural log-probability of the last symbol of every n-gram in `grams`."""
-    p, weight = F.lit(0.0), F.lit(1.0)
-    out = grams.select("k")
-    for order, (own, per) in zip(range(ORDER, 0, -1), model_tables(counts)):
-        part = F.col("k").bitwiseAND((1 << 8 * order) - 1)
-        own = own.select(F.col("k").alias(f"k{order}"), F.col("own").alias(f"own{order}"))
-        per = per.select(F.col("x").alias(f"x{order}"), F.col("weight").alias(f"weight{order}"))
-        out = out.join(own, part == F.col(f"k{order}"), "left").join(per, F.shiftright(part, 8) == F.col(f"x{order}"), "left")
-        p = p + weight * F.coalesce(f"own{order}", F.lit(0.0))
-        weight = weight * F.coalesce(f"weight{order}", F.lit(1.0))
-    return out.select("k", F.log(p + weight / ALPHABET).alias("lp"))
-
-
-def score(docs: DataFrame, table: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """`docs` columns but text, with n_bytes and log_perplexity (null for no text)."""
+def _left(d: tuple[float, float, float]) -> Column:
+    """A count less its discount."""
+    return F.col("c") - F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+
+
+def _level(counts: DataFrame, cutoff: int) -> tuple[DataFrame, DataFrame]:
+    """(k, x, c, own) of the n-grams kept and (x, weight) of their contexts."""
+    left = _left(discounts(counts))
+    kept = F.col("c") >= cutoff
+    per = counts.groupBy(F.shiftright("k", BITS).alias("x")).agg(F.sum("c").alias("total"), F.sum(F.when(kept, left).otherwise(0.0)).alias("left"))
+    per = save(per.select("x", "total", (1 - F.col("left") / F.col("total")).alias("weight")))
+    own = counts.where(kept).withColumn("y", F.shiftright("k", BITS)).join(per, F.col("y") == F.col("x"))
+    return own.select("k", "x", "c", (left / F.col("total")).alias("own")), per.select("x", "weight")
+
+
+def model(counts: DataFrame, cutoff: int = CUTOFF) -> tuple[DataFrame, DataFrame]:
+    """(w, base, back) for single symbols and (k, c, gain) for bigrams and trigrams.
+
+    base is log p(w), back the log weight of w as a context; a row with w = -1 holds the
+    log-probability of an unknown symbol and the log weight of the start of a text.
+    """
+    low = (1 << BITS) - 1
+    three = save(counts)
+    # A lower order counts the different symbols seen before it.
+    two = save(three.groupBy(F.col("k").bitwiseAND((1 << 2 * BITS) - 1).alias("k")).agg(F.count("*").alias("c")))
+    one = save(two.groupBy(F.col("k").bitwiseAND(low).alias("k")).agg(F.count("*").alias("c")))
+    own1, per1 = _level(one, 1)
+    own2, per2 = _level(two, 1)
+    own3, per3 = _level(three, cutoff)
+    rest = F.broadcast(per1.select(F.col("weight").alias("rest")))
+    p1 = save(own1.crossJoin(rest).select(F.col("k").alias("w"), (F.col("own") + F.col("rest") / ALPHABET).alias("p1")))
+    back = per2.select(F.col("x").alias("w"), F.col("weight").alias("w2"))
+    single = p1.join(back, "w", "full").select("w", F.log("p1").alias("base"), F.coalesce(F.log("w2"), F.lit(0.0)).alias("back"))
+    start = START << BITS | START
+    edge = per1.select(F.log(F.col("weight") / ALPHABET).alias("base")).crossJoin(F.broadcast(per3.where(F.col("x") == start).agg(F.coalesce(F.log(F.max("weight")), F.lit(0.0)).alias("back"))))
+    single = single.unionByName(edge.select(F.lit(-1).cast("long").alias("w"), "base", "back"))
+    last, head = F.col("k").bitwiseAND(low), F.col("x")
+    p2 = own2.withColumn("last", last).join(p1, F.col("last") == p1["w"]).drop("w").join(back, head == back["w"])
+    p2 = save(p2.select("k", "c", (F.col("own") + F.col("w2") * F.col("p1")).alias("p2"), (F.col("w2") * F.col("p1")).alias("below")))
+    ahead = per3.select(F.col("x").alias("k"), F.col("weight").alias("w3"))
+    gain2 = p2.join(ahead, "k", "left").select("k", "c", (F.log(F.col("p2") / F.col("below")) + F.coalesce(F.log("w3"), F.lit(0.0))).alias("gain"))
+    tail = p2.select(F.col("k").alias("k2"), "p2")
+    full = own3.join(ahead.withColumnRenamed("k", "k3"), F.col("x") == F.col("k3")).withColumn("tail", F.col("k").bitwiseAND((1 << 2 * BITS) - 1))
+    full = full.join(tail, F.col("tail") == F.col("k2"))
+    gain3 = full.select("k", "c", F.log1p(F.col("own") / (F.col("w3") * F.col("p2"))).alias("gain"))
+    return save(single), save(gain2.unionByName(gain3))
+
+
+def _frequent(gains: DataFrame, held: int) -> int:
+    """The least count of which no more than `held` n-grams of the table have as many."""
+    by = gains.select(F.least("c", F.lit(1 << 16)).alias("c")).groupBy("c").count().collect()
+    total = 0
+    for r in sorted(by, key=lambda r: -r["c"]):
+        total += r["count"]
+        if total > held:
+            return r["c"] + 1
+    return 0
+
+
+def score(docs: DataFrame, single: DataFrame, gains: DataFrame, held_grams: int = HELD_GRAMS) -> DataFrame:
+    """doc_id, lang, n_symbols and log_perplexity (null without a symbol) for each row."""
     spark = docs.sparkSession
-    shards = max(1, math.ceil(table.count() / shard_rows))
-    keep = [c for c in docs.columns if c != "text"]
-    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    parts = []
-    for s in range(shards):
-        rows = table.where(F.pmod("k", F.lit(shards)) == s).toPandas().sort_values("k")
-        # An n-gram of another shard adds nothing in this pass.
-        held = spark.sparkContext.broadcast((rows["k"].to_numpy().astype(np.uint32), rows["lp"].to_numpy()))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            keys, lp = held.value
-            for part in text_slices(batches):
-                buf, off = text_buffer(part.column(part.num_columns - 1))
-                distinct, inverse = np.unique(ngram_keys(buf, off), return_inverse=True)
-                slot = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
-                found = np.where(keys[slot] == distinct, lp[slot], 0.0) if len(keys) else np.zeros(len(distinct))
-                sums = np.zeros(len(buf) + 1)
-                np.cumsum(found[inverse], out=sums[1:])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(off)), pa.array(sums[off[1:]] - sums[off[:-1]])], [*keep, "n_bytes", "lp"])
-
-        parts.append(map_arrow(docs.select(*keep, "text"), run, f"{fields}, n_bytes long, lp double"))
-    out = parts[0]
-    if shards > 1:
-        for more in parts[1:]:
-            out = out.unionByName(more)
-        # Equal rows add up together; their number of rows is a multiple of the shards.
-        out = out.groupBy(*keep, "n_bytes").agg(F.sum("lp").alias("lp"), (F.count("*") / shards).cast("int").alias("copies"))
-        out = out.withColumn("lp", F.col("lp") / F.col("copies")).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("i", "copies")
-    return out.select(*keep, "n_bytes", F.when(F.col("n_bytes") > 0, -F.col("lp") / F.col("n_bytes")).alias("log_perplexity"))
-
-
-def thresholds(scores: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """(lang, threshold): the quantile of trusted log-perplexities, of all for lang null.
+    least = _frequent(gains, held_grams)
+    found = single.toArrow()
+    w = found["w"].to_numpy()
+    edge = int(np.flatnonzero(w == -1)[0]) if (w == -1).any() else None
+    base = np.full(ALPHABET, found["base"][edge].as_py() if edge is not None else -np.log(ALPHABET))
+    back = np.zeros(ALPHABET)
+    known = w >= 0
+    base_of, back_of = found["base"].fill_null(np.nan).to_numpy(), found["back"].to_numpy()
+    seen = known & ~np.isnan(base_of)
+    base[w[seen]], back[w[known]] = base_of[seen], back_of[known]
+    begin = float(back_of[edge]) if edge is not None else 0.0
+    top = gains.where(F.col("c") >= least).select("k", "gain").toArrow().sort_by("k")
+    shared = spark.sparkContext.broadcast((base, back, top["k"].to_numpy().view(np.uint64), top["gain"].to_numpy()))
+    keyed = docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int").alias("part"), "lang", "text")
+
+    def held(keys: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key among the held ones, and whether it is there."""
+        if not len(have):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+        return at, have[at] == keys
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a task can add up alone."""
+        base, back, have, gain = shared.value
+        low, both, b = np.uint64((1 << BITS) - 1), np.uint64((1 << 2 * BITS) - 1), np.uint64(BITS)
+        for part in text_slices(batches):
+            doc, key = trigrams(*text_buffer(part.column(3)))
+            lp = base[(key & low).astype(np.int64)] + back[(key >> b & low).astype(np.int64)]
+            for k in (key, key & both):
+                at, hit = held(k, have)
+                if hit.any():
+                    lp += np.where(hit, gain[at], 0.0)
+            n = np.bincount(doc, minlength=part.num_rows)
+            sums = np.bincount(doc, lp, part.num_rows) + begin * (n > 0)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n), pa.array(sums)], ["doc_id", "part", "lang", "n_symbols", "own"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, part, k, n): each document's n-grams that tasks don't hold."""
+        _, _, have, _ = shared.value
+        both = np.uint64((1 << 2 * BITS) - 1)
+        for part in text_slices(batches):
+            doc, key = trigrams(*text_buffer(part.column(2)))
+            doc, key = np.concatenate([doc, doc]), np.concatenate([key, key & both])
+            left = ~held(key, have)[1]
+            doc, key = doc[left], key[left]
+            order = np.lexsort((key, doc))
+            doc, key = doc[order], key[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(key)))
+            rows = pa.array(doc[first])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(key[first].view(np.int64)), pa.array(n, pa.int32())], ["doc_id", "part", "k", "n"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    mine = save(map_arrow(keyed, own, f"doc_id {id_type}, part int, lang string, n_symbols long, own double"))
+    rows = map_arrow(keyed.select("doc_id", "part", "text"), others, f"doc_id {id_type}, part int, k long, n int")
+    rare = gains.where(F.col("c") < least).select(F.col("k").alias("gk"), "gain")
+    sums = rows.join(rare, F.col("k") == F.col("gk")).groupBy("doc_id", "part").agg(F.sum(F.col("n") * F.col("gain")).alias("more"))
+    sums = sums.select(F.col("doc_id").alias("d"), F.col("part").alias("p"), "more")
+    # Equal rows added their n-grams together; each gets its share.
+    same = mine.groupBy(F.col("doc_id").alias("d"), F.col("part").alias("p")).agg(F.count("*").alias("copies"))
+    shares = same.alias("s").join(sums.alias("m"), F.col("s.d").eqNullSafe(F.col("m.d")) & (F.col("s.p") == F.col("m.p")))
+    shares = shares.select(F.col("s.d").alias("sd"), F.col("s.p").alias("sp"), (F.col("more") / F.col("copies")).alias("more"))
+    out = mine.join(shares, F.col("doc_id").eqNullSafe(F.col("sd")) & (F.col("part") == F.col("sp")), "left")
+    total = F.col("own") + F.coalesce("more", F.lit(0.0))
+    return out.select("doc_id", "lang", "n_symbols", F.when(F.col("n_symbols") > 0, -total / F.col("n_symbols")).alias("log_perplexity"))
+
+
+def _judged() -> Column:
+    """Log-perplexity less what chance may add to a short text's."""
+    return F.col("log_perplexity") - CONFIDENCE / F.sqrt(F.greatest("n_symbols", F.lit(1)))
+
+
+def thresholds(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(lang, threshold): the quantile of judged log-perplexities, of all for lang null.
 
     Read from counts in bins of BIN, so it is exact to a bin and needs no sort of rows.
     """
-    bins = scores.where("trusted AND log_perplexity IS NOT NULL").select(F.explode(F.array("lang", F.lit(None).cast("string"))).alias("lang"), F.ceil(F.col("log_perplexity") / BIN).alias("bin"))
+    bins = scores.where("log_perplexity IS NOT NULL").select(F.explode(F.array("lang", F.lit(None).cast("string"))).alias("lang"), F.ceil(_judged() / BIN).alias("bin"))
     counted = bins.groupBy("lang", "bin").count()
     run = Window.partitionBy("lang").orderBy("bin")
     cum = counted.withColumn("below", F.sum("count").over(run)).withColumn("total", F.sum("count").over(Window.partitionBy("lang")))
     cut = cum.where(F.col("below") >= F.ceil(F.col("total") * quantile)).groupBy("lang").agg(F.min("bin").alias("bin"), F.max("total").alias("total"))
-    return cut.where(F.col("lang").isNull() | (F.col("total") >= MIN_TRUSTED)).select("lang", (F.col("bin") * BIN + slack).alias("threshold"))
+    return cut.where(F.col("lang").isNull() | (F.col("total") >= MIN_TRUSTED)).select("lang", (F.col("bin") * BIN).alias("threshold"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, shard_rows: int = SHARD_ROWS, held_ids: int = HELD_IDS) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, threshold and kept for every document.
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, cutoff: int = CUTOFF, held_grams: int = HELD_GRAMS, held_ids: int = HELD_IDS) -> DataFrame:
+    """doc_id, lang, n_symbols, perplexity, threshold and kept for every document.
 
-    Trusted text is every document with a label of quality 1 and none of quality 0. A
-    language with fewer than MIN_TRUSTED trusted documents, or null, takes the threshold
-    of all trusted documents; with no trusted text at all, none is kept for certain and
-    perplexity is that of a uniform model, threshold null, kept true. A null or empty
-    text has null perplexity and isn't kept. Equal rows get equal results; null ids are
-    carried along and are never trusted; other columns are ignored.
+    Trusted text is every document with a label of quality 1 and none of quality 0; one
+    in HELD_OUT of them by id is not counted and gives the thresholds instead. A language
+    with fewer than MIN_TRUSTED held-out documents, or null, takes the threshold of all
+    of them; with none at all, the threshold is null and every text with a symbol is kept;
+    with no trusted text, perplexity is that of a uniform model. A text that is null or
+    has no symbol has null perplexity and isn't kept. Equal rows get equal results; null
+    ids are carried along and are never trusted; other columns are ignored.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    trusted = save(labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id"))
+    trusted = save(labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("trusted_id"), (F.crc32(F.col("doc_id").cast("string")) % HELD_OUT == 0).alias("out")))
     few = trusted.limit(held_ids + 1).count() <= held_ids
-    ids = F.broadcast(trusted) if few else trusted
-    counts = save(count_ngrams(src.join(ids, "doc_id", "left_semi")))
-    table = save(log_probabilities(count_ngrams(src), counts))
-    scored = score(src, table, shard_rows)
-    marked = trusted.select(F.col("doc_id").alias("trusted_id"))
-    scores = save(scored.join(F.broadcast(marked) if few else marked, F.col("doc_id") == F.col("trusted_id"), "left").withColumn("trusted", F.col("trusted_id").isNotNull()).drop("trusted_id"))
-    cuts = thresholds(scores, quantile, slack)
+    known = F.broadcast(trusted) if few else trusted
+    learned = src.join(known.where("NOT out"), F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    scores = save(score(src, *model(count_ngrams(learned), cutoff), held_grams=held_grams))
+    cuts = thresholds(scores.join(known.where("out"), F.col("doc_id") == F.col("trusted_id"), "left_semi"), quantile)
     by_lang = cuts.where("lang IS NOT NULL").select(F.col("lang").alias("cut_lang"), F.col("threshold").alias("own"))
     general = cuts.where("lang IS NULL").agg(F.max("threshold").alias("general"))
-    out = scores.join(by_lang, F.col("lang") == F.col("cut_lang"), "left").join(F.broadcast(general))
-    limit = F.coalesce("own", "general") + CONFIDENCE / F.sqrt(F.greatest("n_bytes", F.lit(1)))
-    kept = F.col("log_perplexity").isNotNull() & F.coalesce(F.col("log_perplexity") <= limit, F.lit(True))
-    return out.select("doc_id", "lang", "n_bytes", F.exp("log_perplexity").alias("perplexity"), F.exp(limit).alias("threshold"), kept.alias("kept"))
+    # One row for each language: bounded by the labels, not by the documents.
+    out = scores.join(F.broadcast(by_lang), F.col("lang") == F.col("cut_lang"), "left").join(F.broadcast(general))
+    limit = F.coalesce("own", "general")
+    kept = F.col("log_perplexity").isNotNull() & F.coalesce(_judged() <= limit, F.lit(True))
+    allowed = limit + CONFIDENCE / F.sqrt(F.greatest("n_symbols", F.lit(1)))
+    return out.select("doc_id", "lang", "n_symbols", F.exp("log_perplexity").alias("perplexity"), F.exp(allowed).alias("threshold"), kept.alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
