@@ -1,13 +1,20 @@
-"""Line dedup by pairwise alignment with the earliest documents that share rare lines.
+"""Line dedup by pairwise alignment with the earlier documents that share rare runs of lines.
 
 A line's key is the hash of its trimmed text and its occurrence number in the document,
-so every key is unique within a document, as patience diff asks of its anchors. Each
-shared key leads a document to the first document that has it: one partner row per line,
-however many documents share it, instead of all pairs. Document and partner are aligned
-by patience (longest increasing run of anchor places); runs of aligned lines are blocks,
-and a block of enough words is deleted from the later document. The query and the pipeline
-ask the same length of every block, however many documents share its lines; `dedup_lines`
-can ask for more words where no line of a block is rare, and does so by default.
+so every key is unique within a document, as patience diff asks of its anchors. A block is
+a run of neighbouring lines, of `words` words or more, that an earlier document has too.
+
+Partners are found by hashes. A line alone may be in millions of documents, so what is
+hashed is rarer: each shortest run of neighbouring lines that holds enough words, counted
+from its first line on and from its last line back. Every block is made up of such runs,
+and each run leads a document to the first document that has it: one partner row for each
+run, however many documents share it, and none is left out. That is an exact way for
+frequent lines as well, which a limit on a line's documents would not be.
+
+Document and partner are aligned by patience (a longest run of anchors that ascends on
+both sides), then what is left is aligned again, so that blocks which moved are found too;
+an ascending run of greatest length never cuts a block. The blocks go from the later
+document. Aligning every pair of documents deletes the same lines.
 """
 
 from __future__ import annotations
@@ -19,25 +26,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from widegrain.llm import kernels
 from widegrain.llm.common import map_arrow, save, text_buffer, text_slices
 
-#: Documents that may share a rare line; words of a deleted block with and without one.
-RARE_DOCS = 64
-RARE_WORDS = 8
-FREQUENT_WORDS = 20
+#: Words that a deleted block has at least.
+WORDS = 8
+U64 = np.uint64
 
 
-def line_keys(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, line number, key and words of every line with a word.
+def lines_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, line number, 128-bit key (two columns) and words of every line with a word.
 
     Lines are numbered within their text, lines without a word are not counted.
     """
     starts, ends, first = kernels.word_spans(buf, offsets)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none
+        return none, none, np.zeros((0, 2), U64), none
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     breaks = np.searchsorted(np.flatnonzero(buf == 10), starts)
     new = np.ones(len(starts), bool)
@@ -47,14 +54,38 @@ def line_keys(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     line_doc = doc[head]
     at = np.arange(len(head))
     number = at - np.searchsorted(line_doc, line_doc)
-    h = kernels.span_hashes(buf, starts[head], ends[tail])
-    order = np.lexsort((at, h, line_doc))
+    view = memoryview(np.ascontiguousarray(buf))
+    h = np.frombuffer(b"".join([xxh3_128_digest(view[a:b]) for a, b in zip(starts[head].tolist(), ends[tail].tolist())]), U64).reshape(-1, 2)
+    order = np.lexsort((at, h[:, 1], h[:, 0], line_doc))
     same = np.zeros(len(order), bool)
-    same[1:] = (h[order][1:] == h[order][:-1]) & (line_doc[order][1:] == line_doc[order][:-1])
+    same[1:] = (h[order][1:] == h[order][:-1]).all(axis=1) & (line_doc[order][1:] == line_doc[order][:-1])
     group = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
     nth = np.empty(len(order), np.int64)
     nth[order] = np.arange(len(order)) - group
-    return line_doc, number, kernels.mix(h + nth.astype(np.uint64) * np.uint64(kernels.MIX_1)), tail - head + 1
+    return line_doc, number, kernels.mix(h + nth.astype(U64)[:, None] * U64(kernels.MIX_1)), tail - head + 1
+
+
+def shortest_runs(doc: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, lines) of each shortest run of a text's lines with `least` words, from
+    every first line on and from every last line back. Lines are counted over all texts."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    n = np.arange(len(doc))
+    begin, end = np.searchsorted(doc, doc), np.searchsorted(doc, doc, "right")
+    stop = np.searchsorted(total, total[:-1] + least)  # the run is first..stop-1
+    on = stop <= end
+    start = np.searchsorted(total, total[1:] - least, "right") - 1
+    back = (total[1:] >= least) & (start >= begin)
+    pairs = np.unique(np.concatenate([n[on] * (1 << 32) + stop[on] - n[on], start[back] * (1 << 32) + n[back] + 1 - start[back]]))
+    return pairs >> 32, pairs & (1 << 32) - 1
+
+
+def run_keys(key: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """128-bit keys (two columns) of runs of lines, from those of the lines."""
+    out = np.repeat(kernels.mix(size.astype(U64))[:, None], 2, axis=1)
+    for t in range(int(size.max()) if len(size) else 0):
+        live = size > t
+        out[live] = kernels.mix(out[live] * U64(kernels.WORD_BASE) + key[first[live] + t])
+    return out
 
 
 def aligned(anchors: list[tuple[int, int]]) -> list[int]:
@@ -82,30 +113,31 @@ def aligned(anchors: list[tuple[int, int]]) -> list[int]:
     return out[::-1]
 
 
-def deleted_lines(lines: list[int], words: list[int], partners: list, places: list[int], shared: list[int], rare_docs: int, rare_words: int, frequent_words: int) -> list[int]:
-    """Lines of one document's deleted blocks, from its shared lines in line order."""
-    by_partner: dict = {}
-    for i, p in enumerate(partners):
-        by_partner.setdefault(p, []).append((i, places[i]))
-    kept = sorted(i for anchors in by_partner.values() for i in aligned(anchors))
-    out: list[int] = []
-    block: list[int] = []
-
-    def close() -> None:
-        size = sum(words[i] for i in block)
-        if size >= (rare_words if any(shared[i] <= rare_docs for i in block) else frequent_words):
-            out.extend(lines[i] for i in block)
-
-    for i in kept:
-        if block and lines[i] != lines[block[-1]] + 1:
-            close()
-            block = []
-        block.append(i)
-    if block:
-        close()
+def common_blocks(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first line, lines) of the blocks that two documents share, from their anchors."""
+    out: list[tuple[int, int]] = []
+    rest = sorted(anchors)
+    while rest:
+        place = dict(rest)
+        run = aligned(rest)
+        taken = set(run)
+        rest = [a for a in rest if a[0] not in taken]
+        start = 0
+        for i in range(1, len(run) + 1):
+            if i == len(run) or run[i] != run[i - 1] + 1 or place[run[i]] != place[run[i - 1]] + 1:
+                out.append((run[start], i - start))
+                start = i
     return out
 
 
+def deleted_lines(runs: list[tuple[int, int, object, int]]) -> list[int]:
+    """Lines of one document's common blocks, from its shared runs (line, lines, partner, partner's line)."""
+    by_partner: dict = {}
+    for line, size, partner, place in runs:
+        by_partner.setdefault(partner, set()).update((line + t, place + t) for t in range(size))
+    return sorted({line + t for anchors in by_partner.values() for line, size in common_blocks(list(anchors)) for t in range(size)})
+
+
 def _source(docs: DataFrame) -> DataFrame:
     """The rows with their document: a null id comes last, texts of one id are told apart by hash."""
     return docs.select(
@@ -116,39 +148,39 @@ def _source(docs: DataFrame) -> DataFrame:
     )
 
 
-def removed_lines(docs: DataFrame, rare_docs: int = RARE_DOCS, rare_words: int = RARE_WORDS, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc, part, removed): the deleted lines of every document that loses some."""
     src = _source(docs).select("__doc", "__part", "__text")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "__text"):
-            doc, number, key, words = line_keys(*text_buffer(part.column(2)))
-            doc = pa.array(doc)
+            doc, number, key, size = lines_of(*text_buffer(part.column(2)))
+            first, lines = shortest_runs(doc, size, words)
+            key = run_keys(key, first, lines).view(np.int64)
+            row = pa.array(doc[first])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), part.column(0).take(doc), part.column(1).take(doc), pa.array(number, pa.int32()), pa.array(words, pa.int32())],
-                ["key", "doc", "part", "line", "words"],
+                [pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), part.column(0).take(row), part.column(1).take(row), pa.array(number[first], pa.int32()), pa.array(lines, pa.int32())],
+                ["ka", "kb", "doc", "part", "line", "lines"],
             )
 
-    lines = map_arrow(src, keys, "key long, doc long, part long, line int, words int")
-    firsts = lines.groupBy("key").agg(F.count("*").alias("shared"), F.min(F.struct("doc", "part", "line")).alias("a")).where("shared > 1")
-    firsts = firsts.select(F.col("key").alias("akey"), "shared", F.col("a.doc").alias("adoc"), F.col("a.part").alias("apart"), F.col("a.line").alias("aline"))
-    # Written, so that both sides of the join are plain shuffles and a hot key can be split.
+    runs = map_arrow(src, keys, "ka long, kb long, doc long, part long, line int, lines int")
+    firsts = runs.groupBy("ka", "kb").agg(F.count("*").alias("n"), F.min(F.struct("doc", "part", "line")).alias("a")).where("n > 1")
+    firsts = firsts.select(F.col("ka").alias("fa"), F.col("kb").alias("fb"), F.col("a.doc").alias("adoc"), F.col("a.part").alias("apart"), F.col("a.line").alias("aline"))
+    # Written, so that both sides of the join are plain shuffles and a hot run can be split.
     firsts = save(firsts)
-    later = lines.join(firsts, F.col("key") == F.col("akey")).where("doc <> adoc OR part <> apart")
-    shared = later.groupBy("doc", "part").agg(F.sort_array(F.collect_set(F.struct("line", "words", "adoc", "apart", "aline", "shared"))).alias("s"))
+    later = runs.join(firsts, (F.col("ka") == F.col("fa")) & (F.col("kb") == F.col("fb"))).where("doc <> adoc OR part <> apart")
+    shared = later.groupBy("doc", "part").agg(F.collect_set(F.struct("line", "lines", "adoc", "apart", "aline")).alias("s"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = batch.column(2)
-            flat = s.flatten()
-            line, words, adoc, apart, aline, n = [flat.field(i).to_numpy(zero_copy_only=False).tolist() for i in range(6)]
+            line, lines, adoc, apart, aline = [s.flatten().field(i).to_numpy(zero_copy_only=False).tolist() for i in range(5)]
+            runs = list(zip(line, lines, zip(adoc, apart), aline))
             off = (s.offsets.to_numpy() - s.offsets[0].as_py()).tolist()
-            out = []
-            for a, b in zip(off[:-1], off[1:]):
-                out.append(deleted_lines(line[a:b], words[a:b], list(zip(adoc[a:b], apart[a:b])), aline[a:b], n[a:b], rare_docs, rare_words, frequent_words))
+            out = [deleted_lines(runs[a:b]) for a, b in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["doc", "part", "removed"])
 
-    return map_arrow(shared, align, "doc long, part long, removed array<int>").where(F.size("removed") > 0)
+    return map_arrow(shared, align, "doc long, part long, removed array<int>")
 
 
 def strip_lines(text: str, removed: set[int]) -> tuple[str, int]:
@@ -166,7 +198,7 @@ def strip_lines(text: str, removed: set[int]) -> tuple[str, int]:
     return "\n".join(out), number
 
 
-def dedup_lines(docs: DataFrame, rare_docs: int = RARE_DOCS, rare_words: int = RARE_WORDS, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
+def dedup_blocks(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """`docs` with text cleaned, and the new columns n_lines and n_removed_lines.
 
     Every row comes back with its other columns unchanged. Earlier is a smaller doc_id; a
@@ -174,7 +206,7 @@ def dedup_lines(docs: DataFrame, rare_docs: int = RARE_DOCS, rare_words: int = R
     are one document and get equal results. A null text stays null, with no lines.
     """
     src = _source(docs)
-    gone = removed_lines(docs, rare_docs, rare_words, frequent_words)
+    gone = removed_lines(docs, words)
     joined = src.join(gone, (F.col("__doc") == F.col("doc")) & (F.col("__part") == F.col("part")), "left")
     fields = [f for f in docs.schema.fields if f.name not in ("text", "n_lines", "n_removed_lines")]
     plain = joined.select(*[F.col("__row")[f.name].alias(f"c{i}") for i, f in enumerate(fields)], F.col("__row")["text"].alias("__text"), F.coalesce("removed", F.array().cast("array<int>")).alias("__removed"))
@@ -198,11 +230,6 @@ def dedup_lines(docs: DataFrame, rare_docs: int = RARE_DOCS, rare_words: int = R
     return out.select(*order, "n_lines", "n_removed_lines")
 
 
-def dedup_blocks(docs: DataFrame, words: int = RARE_WORDS) -> DataFrame:
-    """`dedup_lines` with one length for all blocks, whether their lines are rare or not."""
-    return dedup_lines(docs, rare_words=words, frequent_words=words)
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """op4 over all documents: the cleaned text and how many of its lines went."""
     return dedup_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
