@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from widegrain.llm import embedding_dedup, line_dedup, shingle_dedup, simhash_dedup, substring_dedup
+from widegrain.llm import embedding_dedup, kernels, line_dedup, shingle_dedup, simhash_dedup, substring_dedup
 from widegrain.llm.components import Forest, connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -57,7 +57,22 @@ def fingerprint(text, k):
 def test_xxh64_of_every_length():
     data = np.random.default_rng(1).integers(0, 256, 400).astype(np.uint8)
     at, size = np.arange(200), np.arange(200) % 120
-    assert [int(h) for h in simhash_dedup.xxh64_spans(data, at, size)] == [xxhash.xxh64_intdigest(data[a : a + n].tobytes(), 42) for a, n in zip(at, size)]
+    assert [int(h) for h in kernels.xxh64_spans(data, at, size)] == [xxhash.xxh64_intdigest(data[a : a + n].tobytes(), 42) for a, n in zip(at, size)]
+
+
+def test_long_spans_and_unlike_words_of_equal_polynomials():
+    data = np.random.default_rng(1).integers(0, 256, 4000).astype(np.uint8)
+    assert int(kernels.xxh64_spans(data, np.array([3]), np.array([3500]), 7)[0]) == xxhash.xxh64_intdigest(data[3:3503].tobytes(), 7)
+    # Words that every polynomial modulo 2**64 takes for equal.
+    a, b = thue_morse()
+    buf = np.frombuffer((a + b).encode(), np.uint8)
+    x, y = kernels.span_hashes(buf, np.array([0, 1024]), np.array([1024, 2048]))
+    assert x != y
+
+
+def thue_morse():
+    a = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    return a, a.translate(str.maketrans("ab", "ba"))
 
 
 def test_keys_meet_within_four_bits():
@@ -174,6 +189,14 @@ def test_substrings_equal_brute_force(spark, awkward, empty):
     assert texts[21] == "" and texts[22].endswith("tail") and texts[30] == "no break café \U0001f44d"
 
 
+def test_unlike_words_and_the_greatest_id_keep_their_rows(spark):
+    x, y = thue_morse()
+    tail = " ".join(f"t{i}" for i in range(19))
+    rows = [(1, f"{x} {tail}"), (2, f"{y} {tail}"), ((1 << 63) - 1, f"{x} {tail}"), (None, f"{x} {tail} u")]
+    found = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 0, 2: 0, (1 << 63) - 1: 20, None: 20}
+
+
 def test_periodic_texts_equal_sql(spark):
     import random
 
@@ -199,22 +222,61 @@ def test_patience_finds_a_longest_run():
         assert len(found) == best
 
 
+def brute_lines(rows, words=8):
+    """Deleted lines of every row, by aligning each document with every earlier one."""
+    order = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: r[0])
+    anchors = {}
+    for r in order:
+        seen, own = Counter(), []
+        for line in r[1].split("\n"):
+            if WORD.search(line):
+                line = line.strip(" \t\n\x0b\x0c\r")
+                own.append((line, seen[line]))
+                seen[line] += 1
+        anchors[r] = own
+    gone = {}
+    for n, d in enumerate(order):
+        lost = set()
+        for e in order[:n]:
+            place = {x: j for j, x in enumerate(anchors[e])}
+            shared = [(i, place[x]) for i, x in enumerate(anchors[d]) if x in place]
+            for first, size in line_dedup.common_blocks(shared):
+                if sum(len(WORD.findall(x)) for x, _ in anchors[d][first : first + size]) >= words:
+                    lost |= set(range(first, first + size))
+        gone[d] = lost
+    return gone
+
+
 def test_blocks_go_from_the_later_document(spark, awkward, empty):
     a = "first line of eight words is right here\nsecond line of eight words is also here\n\nthird one"
     rows = [(1, a), (2, "own words at the start\n" + a + "\nown words at the end"), (3, "second line of eight words is also here\nfirst line of eight words is right here"), (4, None), (5, ""), (1, a)]
-    found = {(r["doc_id"], r["text"], r["n_lines"], r["n_removed_lines"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found == {(1, a, 3, 0), (2, "own words at the start\nown words at the end", 5, 3), (3, "first line of eight words is right here", 2, 1), (4, None, 0, 0), (5, "", 0, 0)} or (3, "second line of eight words is also here", 2, 1) in found
-    out = line_dedup.dedup_lines(awkward)
+    # A block that its lines' first owner has in the other order, and two short lines of different documents.
+    rows += [(11, "b1 two three four five\na1 two three four five"), (12, "a1 two three four five\nb1 two three four five"), (13, "x\na1 two three four five\nb1 two three four five")]
+    rows += [(21, "c1 two three four five\nother"), (22, "d1 two three four five\nelse"), (23, "c1 two three four five\nd1 two three four five")]
+    # Lines that a polynomial modulo 2**64 takes for equal.
+    x, y = thue_morse()
+    rows += [(31, x + " in a line of at least eight words"), (32, y + " in a line of at least eight words")]
+    found = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed_lines"]) for r in line_dedup.dedup_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1] == (a, 3, 0) and found[2] == ("own words at the start\nown words at the end", 5, 3) and found[3] == ("", 2, 2)
+    assert found[4] == (None, 0, 0) and found[5] == ("", 0, 0)
+    assert [found[i][2] for i in (11, 12, 13, 21, 22, 23, 31, 32)] == [0, 0, 2, 0, 0, 0, 0, 0] and found[13][0] == "x"
+    out = line_dedup.dedup_blocks(awkward)
     assert out.columns == [*awkward.columns, "n_lines", "n_removed_lines"] and out.count() == awkward.count()
-    assert line_dedup.dedup_lines(empty).count() == 0
+    assert line_dedup.dedup_blocks(empty).count() == 0
 
 
-def test_frequent_lines_need_a_long_block(spark):
-    rows = [(i, f"a common line that very many documents share\nbut document {i} has this other line as its own") for i in range(80)]
-    long = " ".join(f"w{j}" for j in range(25))
-    rows += [(100 + i, f"{long}\nand {i} is different in this one again, really so") for i in range(80)]
-    found = {r["doc_id"]: r["n_removed_lines"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(found[i] == 0 for i in range(80)) and found[100] == 0 and all(found[100 + i] == 1 for i in range(1, 80))
+def test_deleted_lines_equal_aligning_all_pairs(spark):
+    import random
+
+    rng = random.Random(8)
+    pool = [" ".join(f"p{j}w{k}" for k in range(rng.choice([1, 2, 3, 5, 8, 11]))) for j in range(14)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))) for i in range(70)]
+    rows += [(i, rows[i][1]) for i in (3, 4, 5)] + [(100 + i, rows[i][1] + "\n\n" + rows[i + 1][1]) for i in range(10)]
+    want = brute_lines(rows)
+    found = line_dedup.dedup_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    assert sum(map(len, want.values())) > 60
+    assert Counter((r["doc_id"], r["text"], r["n_removed_lines"]) for r in found) == Counter((i, line_dedup.strip_lines(t, want[i, t])[0], len(want[i, t])) for i, t in rows)
 
 
 def test_query_and_stage_delete_blocks_of_any_group_size(spark, tmp_path):

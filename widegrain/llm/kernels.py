@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+from xxhash import xxh64_intdigest
 
 U64 = np.uint64
 _MASK = (1 << 64) - 1
-#: Odd multipliers of the polynomial hashes, and the constants of a 64-bit finaliser.
-BYTE_BASE = 0x9E3779B97F4A7C55
+#: XXH64's five primes (fixed values of the published hash).
+P1, P2, P3, P4, P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+#: Fewer spans of one length, for each 32 bytes of it, are hashed one by one.
+LONE = 100
+#: Odd multiplier of the polynomial hashes of short runs, and the constants of a 64-bit finaliser.
 WORD_BASE = 0xD6E8FEB86659FD93
 MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -57,12 +61,68 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, equal for equal content wherever it lies."""
-    pw, inv = powers(BYTE_BASE, len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, U64)
-    np.cumsum((buf.astype(U64) + U64(1)) * pw[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(U64) * U64(MIX_1))
+def _rotl(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << U64(r)) | (x >> U64(64 - r))
+
+
+def xxh64_spans(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of each byte span; spans of one length are hashed together where there are many."""
+    out = np.empty(len(starts), U64)
+    if not len(starts):
+        return out
+    data = np.concatenate([buf, np.zeros(8, np.uint8)])
+    by8 = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    by4 = np.ndarray((len(data) - 3,), "<u4", data, strides=(1,))
+    order = np.argsort(lengths, kind="stable")
+    cuts = np.flatnonzero(np.diff(lengths[order])) + 1
+    view = memoryview(np.ascontiguousarray(buf))
+    for group in np.split(order, cuts):
+        size, s = int(lengths[group[0]]), starts[group]
+        if len(group) < LONE * (1 + size // 32):
+            out[group] = [xxh64_intdigest(view[a : a + size], seed) for a in s.tolist()]
+            continue
+        out[group] = _xxh64_group(by8, by4, data, s, size, seed)
+    return out
+
+
+def _xxh64_group(by8, by4, data, s, size: int, seed: int) -> np.ndarray:
+    mask = (1 << 64) - 1
+    at = 0
+
+    def lane_round(acc, lane):
+        return _rotl(acc + lane * U64(P2), 31) * U64(P1)
+
+    if size >= 32:
+        acc = [np.full(len(s), (seed + d) & mask, U64) for d in (P1 + P2, P2, 0, -P1)]
+        while at + 32 <= size:
+            acc = [lane_round(a, by8[s + at + 8 * i]) for i, a in enumerate(acc)]
+            at += 32
+        h = _rotl(acc[0], 1) + _rotl(acc[1], 7) + _rotl(acc[2], 12) + _rotl(acc[3], 18)
+        for a in acc:
+            h = (h ^ lane_round(np.zeros(1, U64), a)) * U64(P1) + U64(P4)
+        h = h + U64(size)
+    else:
+        h = np.full(len(s), (seed + P5 + size) & mask, U64)
+    while at + 8 <= size:
+        h = _rotl(h ^ lane_round(np.zeros(1, U64), by8[s + at]), 27) * U64(P1) + U64(P4)
+        at += 8
+    if at + 4 <= size:
+        h = _rotl(h ^ (by4[s + at].astype(U64) * U64(P1)), 23) * U64(P2) + U64(P3)
+        at += 4
+    while at < size:
+        h = _rotl(h ^ (data[s + at].astype(U64) * U64(P5)), 11) * U64(P1)
+        at += 1
+    h = (h ^ (h >> U64(33))) * U64(P2)
+    h = (h ^ (h >> U64(29))) * U64(P3)
+    return h ^ (h >> U64(32))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """A 64-bit hash of each byte span, equal for equal content wherever it lies.
+
+    XXH64, not a polynomial: of those modulo 2**64, equal-hashed texts can be written down.
+    """
+    return xxh64_spans(buf, starts, ends - starts, seed)
 
 
 def rolling(values: np.ndarray, k: int) -> np.ndarray:

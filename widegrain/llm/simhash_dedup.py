@@ -26,8 +26,6 @@ from widegrain.llm.common import map_arrow, save, text_buffer, text_slices
 from widegrain.llm.components import Forest, connected_components
 
 U64 = np.uint64
-#: XXH64's five primes (fixed values of the published hash).
-P1, P2, P3, P4, P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
 #: Generator polynomial of the binary Golay code [23, 12, 7] (fixed value).
 GOLAY_POLY = 0b110001110101
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -41,58 +39,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _rotl(x: np.ndarray, r: int) -> np.ndarray:
-    return (x << U64(r)) | (x >> U64(64 - r))
-
-
-def xxh64_spans(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 42) -> np.ndarray:
-    """XXH64 of each byte span; spans of one length are hashed together."""
-    out = np.empty(len(starts), U64)
-    if not len(starts):
-        return out
-    data = np.concatenate([buf, np.zeros(8, np.uint8)])
-    by8 = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    by4 = np.ndarray((len(data) - 3,), "<u4", data, strides=(1,))
-    order = np.argsort(lengths, kind="stable")
-    cuts = np.flatnonzero(np.diff(lengths[order])) + 1
-    for group in np.split(order, cuts):
-        size, s = int(lengths[group[0]]), starts[group]
-        out[group] = _xxh64_group(by8, by4, data, s, size, seed)
-    return out
-
-
-def _xxh64_group(by8, by4, data, s, size: int, seed: int) -> np.ndarray:
-    mask = (1 << 64) - 1
-    at = 0
-
-    def lane_round(acc, lane):
-        return _rotl(acc + lane * U64(P2), 31) * U64(P1)
-
-    if size >= 32:
-        acc = [np.full(len(s), (seed + d) & mask, U64) for d in (P1 + P2, P2, 0, -P1)]
-        while at + 32 <= size:
-            acc = [lane_round(a, by8[s + at + 8 * i]) for i, a in enumerate(acc)]
-            at += 32
-        h = _rotl(acc[0], 1) + _rotl(acc[1], 7) + _rotl(acc[2], 12) + _rotl(acc[3], 18)
-        for a in acc:
-            h = (h ^ lane_round(np.zeros(1, U64), a)) * U64(P1) + U64(P4)
-        h = h + U64(size)
-    else:
-        h = np.full(len(s), (seed + P5 + size) & mask, U64)
-    while at + 8 <= size:
-        h = _rotl(h ^ lane_round(np.zeros(1, U64), by8[s + at]), 27) * U64(P1) + U64(P4)
-        at += 8
-    if at + 4 <= size:
-        h = _rotl(h ^ (by4[s + at].astype(U64) * U64(P1)), 23) * U64(P2) + U64(P3)
-        at += 4
-    while at < size:
-        h = _rotl(h ^ (data[s + at].astype(U64) * U64(P5)), 11) * U64(P1)
-        at += 1
-    h = (h ^ (h >> U64(33))) * U64(P2)
-    h = (h ^ (h >> U64(29))) * U64(P3)
-    return h ^ (h >> U64(32))
-
-
 def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of every text's shingles in order, the texts that have any, and how many each has."""
     buf = _LOWER[buf]
@@ -108,7 +54,7 @@ def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[
     held = np.flatnonzero(count)
     head = np.repeat(first[held], count[held]) + _within(count[held])
     last = np.minimum(head + shingle, np.repeat(first[held + 1], count[held])) - 1
-    h = xxh64_spans(np.frombuffer(joined, np.uint8), word_at[head], word_at[last] + lens[last] - word_at[head])
+    h = kernels.xxh64_spans(np.frombuffer(joined, np.uint8), word_at[head], word_at[last] + lens[last] - word_at[head])
     return h, held, count[held]
 
 

@@ -33,6 +33,7 @@ from widegrain.llm.common import map_arrow, save, text_buffer, text_slices
 U64 = np.uint64
 WINDOW = 20
 SUB_KMER = 6
+MINIMIZER_SEED, CONTENT_SEED = 1, 2
 
 
 class Path:
@@ -41,8 +42,9 @@ class Path:
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, window: int, sub: int):
         self.starts, self.ends, self.first = kernels.word_spans(buf, offsets)
         self.words = np.diff(self.first)
-        hashes = kernels.span_hashes(buf, self.starts, self.ends) if len(self.starts) else np.zeros(0, U64)
-        small = kernels.mix(kernels.rolling(hashes, sub))
+        # Minimizers and contents come from two independent hashes of each word: 128 bits in all.
+        hashes = kernels.span_hashes(buf, self.starts, self.ends, CONTENT_SEED)
+        small = kernels.mix(kernels.rolling(kernels.span_hashes(buf, self.starts, self.ends, MINIMIZER_SEED), sub))
         least = kernels.sliding_argmin(small, window - sub + 1)
         count = np.maximum(self.words - window + 1, 0)
         #: Global word number and text of every window, in order.
@@ -71,7 +73,7 @@ class Path:
 
 
 def _sources(docs: DataFrame) -> DataFrame:
-    """(__doc, __part, text): a document's place in the order of first occurrences.
+    """(__doc, __part, text, doc_id): a document's place in the order of first occurrences.
 
     A null id orders after all others. Rows that share an id are one document if their
     texts are equal and are told apart by 31 bits of the text's hash otherwise.
@@ -80,6 +82,7 @@ def _sources(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__doc"),
         F.shiftrightunsigned(F.xxhash64("text"), 33).alias("__part"),
         "text",
+        F.col("doc_id").cast("long").alias("doc_id"),
     )
 
 
@@ -99,18 +102,19 @@ def first_stretches(docs: DataFrame, window: int, sub: int) -> DataFrame:
                 ["minimizer", "content", "doc", "part", "start"],
             )
 
-    rows = map_arrow(_sources(docs), run, "minimizer long, content long, doc long, part long, start int")
+    rows = map_arrow(_sources(docs).drop("doc_id"), run, "minimizer long, content long, doc long, part long, start int")
     return rows.groupBy("minimizer", "content").agg(_least("doc", "part", "start").alias("s")).select("minimizer", "s.*")
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, sub: int = SUB_KMER) -> DataFrame:
-    """(__doc, __part, text, firsts, opened, edges): each text with what is first in it.
+    """(doc_id, __part, text, firsts, opened, edges): each text with what is first in it.
 
     firsts: starts of its first stretches; opened: those at branching nodes;
     edges: starts of the first windows inside these.
     """
     firsts = save(first_stretches(docs, window, sub))
-    branching = firsts.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1").select("minimizer", F.lit(True).alias("branch"))
+    # Written, so that both sides of the join are plain shuffles and a hot minimizer can be split.
+    branching = save(firsts.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1").select("minimizer", F.lit(True).alias("branch")))
     marked = firsts.join(branching, "minimizer", "left").select("doc", "part", "start", F.coalesce("branch", F.lit(False)).alias("branch"))
     lists = save(
         marked.groupBy("doc", "part").agg(
@@ -142,7 +146,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, sub: int = SUB_KMER) -
     edges = save(edges.groupBy("doc", "part").agg(F.collect_list("start").alias("edges")).select(F.col("doc").alias("edoc"), F.col("part").alias("epart"), "edges"))
     out = source.join(lists, on(lists), "left")
     out = out.join(edges, (F.col("__doc") == F.col("edoc")) & (F.col("__part") == F.col("epart")), "left")
-    return out.select("__doc", "__part", "text", "firsts", "opened", "edges")
+    return out.select("doc_id", "__part", "text", "firsts", "opened", "edges")
 
 
 def _marked(lists: pa.Array, path: Path) -> np.ndarray:
@@ -195,11 +199,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, sub: int = SUB_KMER,
             texts = [joined[a : max(b - 1, a)] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
             final = pa.array([sha256(t).hexdigest() for t in texts]) if digest else pa.array([t.decode() for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(path.words), pa.array(path.words - n_kept), final], ["d", "n_words", "n_removed", out]
+                [part.column(0), pa.array(path.words), pa.array(path.words - n_kept), final], ["doc_id", "n_words", "n_removed", out]
             )
 
-    done = map_arrow(repeated_words(docs, window, sub), run, f"d long, n_words long, n_removed long, {out} string")
-    return done.select(F.when(F.col("d") < (1 << 63) - 1, F.col("d")).alias("doc_id"), "n_words", "n_removed", out)
+    return map_arrow(repeated_words(docs, window, sub), run, f"doc_id long, n_words long, n_removed long, {out} string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
