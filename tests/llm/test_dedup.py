@@ -294,8 +294,19 @@ def test_query_and_stage_delete_blocks_of_any_group_size(spark, tmp_path):
 # -- embeddings
 
 
-@pytest.mark.parametrize("chunk", [16384, 7])
-def test_embeddings_equal_all_pairs(spark, chunk):
+def test_plans_prune_clusters_and_never_exceed_all_pairs():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(200, 64))
+    clustered = np.repeat(centres, 20, axis=0) + rng.normal(scale=0.1, size=(4000, 64))
+    for x, most in ((clustered[rng.permutation(4000)], 0.1), (rng.normal(size=(4000, 64)), 1.0)):
+        y = embedding_dedup.rotate(x, embedding_dedup.rotation(64))
+        plan = embedding_dedup.choose_plan(y[:3000], 10_000_000, 0.1)
+        tests, _ = embedding_dedup.plan_work(y, plan)
+        assert tests.sum() <= most + 1e-9 and (most == 1.0 or len(plan[0].pivots) > 1)
+
+
+@pytest.mark.parametrize("blocks,pivots,chunk", [(None, None, 16384), (4, 8, 7), (8, 40, 16384), (1, 5, 30)])
+def test_embeddings_equal_all_pairs(spark, blocks, pivots, chunk):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 24))
     x = np.concatenate([c + rng.normal(scale=0.28, size=(25, 24)) for c in centres] + [rng.normal(size=(40, 24))]).astype(np.float32)
@@ -304,7 +315,7 @@ def test_embeddings_equal_all_pairs(spark, chunk):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     bad = [(1000, None, 0), (1001, [0.0] * 24, 0), (1002, [float("nan")] + [1.0] * 23, 0), (1003, [None] + [1.0] * 23, 0), (1004, [], 0), (1005, [float("inf")] * 24, 0), (1006, x[3].tolist()[:23], 0)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int")
-    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_vectors(df, chunk=chunk).collect()}
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_vectors(df, blocks=blocks, pivots=pivots, chunk=chunk).collect()}
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     near = u @ u.T >= 0.95
     root = groups(len(x), [(a, b) for a, b in zip(*np.nonzero(np.triu(near, 1)))])
@@ -316,3 +327,8 @@ def test_embeddings_equal_all_pairs(spark, chunk):
     c.executemany("INSERT INTO embeddings VALUES (?, ?)", [(i, v) for i, v, _ in rows + bad])
     assert {r[0]: r[1:] for r in c.sql(embedding_dedup.ORACLE_SQL).fetchall()} == found
     assert embedding_dedup.near_vectors(df.where("false")).count() == 0
+    # Repeated ids, and columns whose names the operator uses itself.
+    twice = df.where("vec_id < 3").union(df.where("vec_id = 1")).selectExpr("vec_id", "embedding", "1 AS cid", "'x' AS e", "2 AS n", "null AS block")
+    again = {(r["vec_id"], r["n_links"]) for r in embedding_dedup.near_vectors(twice).collect()}
+    one = near[:3, :3].sum(axis=1) + near[:3, 1] - 1
+    assert again == {(i, int(one[i])) for i in range(3)}

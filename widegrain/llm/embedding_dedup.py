@@ -4,10 +4,17 @@ Unit vectors u, v have cosine >= c exactly when |u - v|^2 <= 2 (1 - c). A fixed
 spreads that distance over the coordinates, which are split into blocks; the squared
 budget is shared out in proportion to the blocks' dimensions. If every block exceeded its
 share the whole would exceed the budget, so each linked pair is near in some block.
-Each block is a range join: a grid over its first coordinates, where a vector goes to its
-own cell and to those later cells that its range reaches. A cell's task finds the pairs
-within the block's budget, keeps those for which no earlier block does (each pair of the
-union of candidates is then owned by one task), and verifies them by exact cosine.
+Each block is a range join over all of its coordinates: every vector belongs to the cell
+of its nearest pivot, and visits those later cells whose vectors may be within the block's
+radius (a vector is no nearer to another cell than to the plane half way between the two
+pivots). A cell's task finds the pairs within the block's budget, keeps those for which no
+earlier block does (each pair of the union of candidates is then owned by one task), and
+verifies them by exact cosine.
+
+How many blocks and pivots prune most depends on the vectors and their number. A bounded
+sample estimates pair tests and copies for several plans, and the cheapest is taken; one
+block with one cell, which is all pairs, is among them, so that blocks which prune nothing
+never cost more than they save. Every plan finds the same links.
 
 A task emits counts of links and a spanning forest of them, never the pairs. Equal vectors
 are one class throughout. Cells with many vectors are cut into chunks that meet two at a
@@ -18,21 +25,28 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from widegrain.llm.common import map_arrow, save, ship
 from widegrain.llm.components import Forest, connected_components
 
-BLOCKS = 4
-GRID_DIMS = 2
+#: Numbers of blocks and of pivots that are tried.
+BLOCKS = (1, 2, 4, 8)
+PIVOTS = (1, 16, 64, 256, 1024)
+#: Vectors in the sample, about; pivots are its first ones.
+SAMPLE = 4096
+#: Estimated nanoseconds of a pair test, of a coordinate in it, and of a copy of a vector.
+TEST_NS, COORDINATE_NS, COPY_NS = 1.5, 0.06, 3000
 SEED = 20240501
-#: Vectors of a cell that a task compares with as many others.
-CHUNK = 16384
+#: Vectors of a cell that a task compares with as many others; up to SPREAD tasks a side
+#: share cells of more than FEW, so that one large cell keeps many tasks busy.
+CHUNK, FEW, SPREAD = 16384, 2048, 8
 ROWS = 512
 #: Cells whose sizes are broadcast (40 bytes each); more of them are joined by shuffle.
 HELD_CELLS = 1_000_000
@@ -62,20 +76,81 @@ def rotate(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
     return out
 
 
-def cells_of(y: np.ndarray, radius: float, width: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(rows, cell coordinates, own): the cell of each point, then the later cells that a
-    ball of `radius` around the point reaches. `y` holds the grid's coordinates."""
-    home = np.floor(y / width).astype(np.int64)
-    yield np.arange(len(y)), home, True
-    dims = y.shape[1]
-    for step in np.ndindex(*([3] * dims)):
-        move = np.array(step) - 1
-        ahead = next((m for m in move if m), 0)
-        if ahead <= 0:
-            continue
-        gap = np.where(move > 0, (home + 1) * width - y, np.where(move < 0, y - home * width, 0.0))
-        rows = np.flatnonzero((gap**2).sum(axis=1) <= radius * radius)
-        yield rows, home[rows] + move, False
+@dataclass(frozen=True)
+class Block:
+    """Coordinates from..to, their squared-distance budget, and the pivots of its cells."""
+
+    start: int
+    stop: int
+    share: float
+    pivots: np.ndarray
+
+    def cells(self, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(rows, cells, own): the cell of each rotated vector, then the later cells that it visits."""
+        p, radius = self.pivots, math.sqrt(self.share) + 1e-7
+        square = np.einsum("ij,ij->i", p, p)
+        apart = np.sqrt(np.maximum(square[:, None] + square - 2 * p @ p.T, 1e-24))
+        for lo in range(0, len(y), ROWS):
+            z = y[lo : lo + ROWS, self.start : self.stop]
+            far = np.einsum("ij,ij->i", z, z)[:, None] + square - 2 * z @ p.T
+            home = far.argmin(axis=1)
+            rows = np.arange(len(z))
+            yield rows + lo, home, True
+            reach = far - far[rows, home][:, None] <= 2 * radius * apart[home] + 1e-12
+            reach &= np.arange(len(p)) > home[:, None]
+            visitor, cell = np.nonzero(reach)
+            yield visitor + lo, cell, False
+
+
+def make_plan(sample: np.ndarray, budget: float, blocks: int, pivots: int) -> list[Block]:
+    """`sample` holds rotated unit vectors in random order; the first ones are the pivots."""
+    dim = sample.shape[1]
+    return [Block(a, b, budget * (b - a) / dim + SLACK, np.unique(sample[:pivots, a:b], axis=0)) for a, b in block_bounds(dim, blocks)]
+
+
+def plan_work(y: np.ndarray, plan: list[Block]) -> tuple[np.ndarray, float]:
+    """Pair tests of each block as parts of all pairs, and copies of a vector."""
+    tests, copies = [], 0.0
+    for block in plan:
+        home, away = np.zeros(len(block.pivots)), np.zeros(len(block.pivots))
+        for _, cell, own in block.cells(y):
+            counts = np.bincount(cell, minlength=len(home))
+            home, away = (home + counts, away) if own else (home, away + counts)
+        tests.append((home * home / 2 + home * away).sum() / max(len(y) ** 2 / 2, 1))
+        copies += (home + away).sum() / max(len(y), 1)
+    return np.array(tests), copies
+
+
+def choose_plan(sample: np.ndarray, total: int, budget: float) -> list[Block]:
+    """The plan of least estimated time for `total` vectors, with no more pair tests than all pairs."""
+    best, least = make_plan(sample, budget, 1, 1), math.inf
+    for blocks in BLOCKS:
+        for pivots in PIVOTS:
+            if pivots > max(len(sample) // 2, 1) or blocks > sample.shape[1]:
+                continue
+            plan = make_plan(sample, budget, blocks, pivots)
+            tests, copies = plan_work(sample[pivots if pivots > 1 else 0 :], plan)
+            if tests.sum() > 1 + 1e-9:
+                continue
+            cost = total / 2 * sum(t * (TEST_NS + COORDINATE_NS * (b.stop - b.start)) for t, b in zip(tests, plan)) + copies * COPY_NS
+            if cost < least:
+                best, least = plan, cost
+    return best
+
+
+def sample_plans(classes: DataFrame, cosine: float, blocks: int | None, pivots: int | None) -> dict[int, list[Block]]:
+    """The plan for each length of vector, from a sample of about SAMPLE of all classes by hash."""
+    budget, total = 2 * (1 - cosine), classes.count()
+    every = max(1, total // SAMPLE)
+    rows = classes.where(F.pmod(F.xxhash64("cid", F.lit(5)), F.lit(every)) == 0).orderBy(F.xxhash64("cid", F.lit(6)), "cid").select("e").toArrow()["e"].combine_chunks()
+    plans: dict[int, list[Block]] = {}
+    sizes, flat = np.diff(rows.offsets.to_numpy()), rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    ends = np.cumsum(sizes)
+    for dim in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == dim)
+        y = rotate(flat[(ends - sizes)[at][:, None] + np.arange(dim)], rotation(dim))
+        plans[dim] = choose_plan(y, total, budget) if blocks is None else make_plan(y, budget, min(blocks, dim), pivots or 1)
+    return plans
 
 
 def vectors(embeddings: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
@@ -88,13 +163,14 @@ def vectors(embeddings: DataFrame, id_col: str = "vec_id", col: str = "embedding
     return embeddings.select(F.col(id_col).cast("long").alias("vec_id"), kept.alias("e"), valid.alias("valid"), F.xxhash64(kept).alias("ka"), F.xxhash64(F.lit(1), kept).alias("kb"))
 
 
-def link_parts(classes: DataFrame, cosine: float, blocks: int, chunk: int) -> DataFrame:
+def link_parts(classes: DataFrame, cosine: float, blocks: int | None, pivots: int | None, chunk: int) -> DataFrame:
     """(kind, a, b): kind 0, class a has links to classes with b vectors; kind 1, a link a - b."""
-    budget = 2 * (1 - cosine)
+    plans = sample_plans(classes, cosine, blocks, pivots)
     kind = classes.schema["e"].dataType.simpleString()
 
-    def plan(dim: int) -> list[tuple[int, int, float]]:
-        return [(a, b, budget * (b - a) / dim + SLACK) for a, b in block_bounds(dim, blocks)]
+    def plan(dim: int) -> list[Block]:
+        # A length that the sample lacks is rare.
+        return plans.get(dim) or make_plan(np.zeros((1, dim)), 2 * (1 - cosine), 1, 1)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
@@ -107,15 +183,13 @@ def link_parts(classes: DataFrame, cosine: float, blocks: int, chunk: int) -> Da
                 rows = np.flatnonzero(sizes == dim)
                 x = flat[(ends - sizes)[rows][:, None] + np.arange(dim)]
                 y = rotate(x, turns.setdefault(dim, rotation(dim)))
-                for n, (a, b, share) in enumerate(plan(dim)):
-                    radius = math.sqrt(share) + 1e-7
-                    for pick, cell, own in cells_of(y[:, a : min(b, a + GRID_DIMS)], radius, 2 * radius):
+                for n, block in enumerate(plan(dim)):
+                    for pick, cell, own in block.cells(y):
                         if not len(pick):
                             continue
                         take = pa.array(rows[pick])
-                        name = cell @ np.array([1 << 20, 1])[-cell.shape[1] :]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(pick), dim), pa.int32()), pa.array(np.full(len(pick), n), pa.int32()), pa.array(name), pa.array(np.full(len(pick), own)), *[c.take(take) for c in batch.columns]],
+                            [pa.array(np.full(len(pick), dim), pa.int32()), pa.array(np.full(len(pick), n), pa.int32()), pa.array(cell.astype(np.int64)), pa.array(np.full(len(pick), own)), *[c.take(take) for c in batch.columns]],
                             ["dim", "block", "cell", "own", "cid", "n", "e"],
                         )
 
@@ -124,8 +198,8 @@ def link_parts(classes: DataFrame, cosine: float, blocks: int, chunk: int) -> Da
     sizes = dealt.groupBy(*group).agg(F.count(F.when(F.col("own"), 1)).alias("home"), F.count(F.when(~F.col("own"), 1)).alias("away"))
     parts = sizes.where("home > 0").select(
         *[F.col(c).alias(f"g_{c}") for c in group],
-        F.ceil(F.col("home") / chunk).cast("int").alias("home_parts"),
-        F.greatest(F.ceil(F.col("away") / chunk), F.lit(1)).cast("int").alias("away_parts"),
+        _parts("home", chunk).alias("home_parts"),
+        _parts("away", chunk).alias("away_parts"),
     )
     parts = save(parts)
     few = parts.limit(HELD_CELLS + 1).count() <= HELD_CELLS
@@ -143,7 +217,7 @@ def link_parts(classes: DataFrame, cosine: float, blocks: int, chunk: int) -> Da
     ).otherwise(F.transform(homes, lambda o: F.struct(o.alias("i"), (-1 - F.col("mine")).alias("j"))))
     placed = placed.withColumn("mine", mine).withColumn("t", F.explode(tasks)).select(*group, "t.i", "t.j", (F.col("own") & (F.col("mine") == F.col("t.i"))).alias("left"), "cid", "n", "e")
 
-    def compare(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         dim, block, i, j = int(key[0]), int(key[1]), int(key[3]), int(key[4])
         x = np.stack(frame["e"].to_numpy()).astype(np.float64)
         side = frame["left"].to_numpy()
@@ -161,14 +235,20 @@ def link_parts(classes: DataFrame, cosine: float, blocks: int, chunk: int) -> Da
     return placed.repartition(*group, "i", "j").groupBy(*group, "i", "j").applyInPandas(compare, "kind int, a long, b long")
 
 
-def linked_pairs(x: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, block: int, plan: list, cosine: float) -> tuple[np.ndarray, Forest]:
+def _parts(size: str, chunk: int) -> Column:
+    """Chunks of a side of a cell."""
+    few = F.least(F.ceil(F.col(size) / min(FEW, chunk)), F.lit(SPREAD))
+    return F.greatest(F.ceil(F.col(size) / chunk), few, F.lit(1)).cast("int")
+
+
+def linked_pairs(x: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, block: int, plan: list[Block], cosine: float) -> tuple[np.ndarray, Forest]:
     """Linked weight of every row and a spanning forest, over pairs owned by `block`."""
     counts, forest = np.zeros(len(x), np.int64), Forest(len(x))
     if not len(left) or not len(right):
         return counts, forest
     y = rotate(x, rotation(x.shape[1]))
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    a, b, share = plan[block]
+    a, b, share = plan[block].start, plan[block].stop, plan[block].share
     yl, yr = y[left, a:b], y[right, a:b]
     square = np.einsum("ij,ij->i", yr, yr)
     for lo in range(0, len(left), ROWS):
@@ -182,8 +262,8 @@ def linked_pairs(x: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.
         for s in range(0, len(p), 1 << 16):
             l, r = left[p[s : s + (1 << 16)]], right[q[s : s + (1 << 16)]]
             mine = _distance(y, l, r, a, b) <= share
-            for a0, b0, share0 in plan[:block]:
-                mine &= _distance(y, l, r, a0, b0) > share0
+            for earlier in plan[:block]:
+                mine &= _distance(y, l, r, earlier.start, earlier.stop) > earlier.share
             l, r = l[mine], r[mine]
             cos = np.einsum("ij,ij->i", x[l], x[r]) / (norm[l] * norm[r])
             l, r = l[cos >= cosine], r[cos >= cosine]
@@ -201,18 +281,19 @@ def _distance(y: np.ndarray, l: np.ndarray, r: np.ndarray, a: int, b: int) -> np
     return out
 
 
-def near_vectors(embeddings: DataFrame, cosine: float = 0.95, blocks: int = BLOCKS, chunk: int = CHUNK, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
+def near_vectors(embeddings: DataFrame, cosine: float = 0.95, blocks: int | None = None, pivots: int | None = None, chunk: int = CHUNK, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of `embeddings`.
 
     n_links counts the other rows with cosine >= `cosine` in double precision,
     component_id is the least vec_id reachable over links. A vector that is null, all
     zero, or holds null or non-finite components, or has no id, links with nothing; so do
     vectors of different length with each other. Equal rows link with each other. Other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows. `blocks` and `pivots` set a plan that
+    is chosen from a sample otherwise; they don't change the result.
     """
     rows = vectors(embeddings, id_col, col)
     classes = save(rows.where("valid").groupBy("ka", "kb").agg(F.min("vec_id").alias("cid"), F.count("*").alias("n"), F.first("e").alias("e")))
-    parts = save(link_parts(classes, cosine, blocks, chunk))
+    parts = save(link_parts(classes, cosine, blocks, pivots, chunk))
     counts = parts.where("kind = 0").groupBy(F.col("a").alias("c0")).agg(F.sum("b").alias("others"))
     groups = connected_components(parts.where("kind = 1").select("a", "b"))
     rooted = classes.select("ka", "kb", "cid", "n").join(groups, F.col("cid") == F.col("node"), "left").join(counts, F.col("cid") == F.col("c0"), "left")
