@@ -4,7 +4,9 @@ An entity's surrogate depends only on the key, its type, its normal form and an
 number, so it is the same in every document (coreference) and no table of secrets is
 kept. Numbers, codes and addresses go through a keyed permutation of all strings of their
 format, which keeps length, signs, case, country code, check digit and octet range; names
-are composed from syllables of their script with an ending of their gender. The distinct
+are composed from syllables of their script with an ending of their gender, and are the
+longer the more names of a kind there are. The key is a secret: who has it can undo the
+permutations, so there is no default. The distinct
 entities of the corpus are then checked: a surrogate that two entities share, or that is
 itself an entity of the corpus, is drawn again, names with one more syllable each time,
 until all are distinct.
@@ -18,16 +20,18 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 from math import isqrt
+from secrets import token_hex
 from unicodedata import category, normalize
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from widegrain.llm.common import map_arrow, save, text_slices
 
 #: Redrawn entities that a rewriting task may hold; beyond it they are joined by document.
 HELD_REDRAWS = 100_000
+KEY_SETTING = "spark.widegrain.pii.key"
 
 #: Titles that announce a person's name, by gender (fixed values).
 TITLES = {
@@ -44,6 +48,9 @@ SYLLABLES = {
 GIVEN_END = {"latin": {"m": "on", "f": "ina", "n": "is"}, "cyrillic": {"m": "ан", "f": "ина", "n": "ис"}, "greek": {"m": "ων", "f": "ινα", "n": "ις"}}
 FAMILY_END = {"latin": {"m": "er", "f": "er", "n": "er"}, "cyrillic": {"m": "ов", "f": "ова", "n": "ко"}, "greek": {"m": "ιδης", "f": "ιδου", "n": "ακη"}}
 
+#: Words that introduce a name without a title (fixed values).
+CUES = ["my name is", "name:", "signed by", "mein Name ist", "ich heiße", "je m'appelle", "je m’appelle", "mon nom est", "me llamo", "mi nombre es", "меня зовут", "mi chiamo"]
+
 _TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 
 
@@ -71,7 +78,7 @@ DETECTORS: list[tuple[str, Callable[[str], bool], re.Pattern]] = [
     ("email", lambda t: "@" in t, re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")),
     ("secret", lambda t: "=" in t or ":" in t, re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<v>[A-Za-z0-9+/_.-]{6,}[A-Za-z0-9+/_])")),
     ("access_key", lambda t: "AKIA" in t or "ASIA" in t, re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<v>[A-Z0-9]{16})(?![A-Za-z0-9])")),
-    ("iban", lambda t: True, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}(?P<v>\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
+    ("iban", lambda t: True, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ip", lambda t: True, re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)")),
     ("card", lambda t: True, re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")),
     ("ssn", lambda t: True, re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
@@ -79,6 +86,8 @@ DETECTORS: list[tuple[str, Callable[[str], bool], re.Pattern]] = [
 ]
 _DIGIT = re.compile(r"\d")
 _NAMES = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(map(re.escape, _TITLE_GENDER), key=len, reverse=True))})\.? (?P<name>{_WORD}(?: {_WORD}){{0,2}})")
+_CUED = re.compile(rf"(?<!\w)(?i:{'|'.join(map(re.escape, CUES))}) ?(?P<name>{_WORD}(?: {_WORD}){{0,2}})")
+_CUE_WORDS = {max(c.replace(":", " ").split(), key=len).lower() for c in CUES}
 _CAPITALISED = re.compile(rf"(?<![\w{_PART}{_APOSTROPHES}]){_WORD}")
 _NEEDS_DIGIT = {"iban", "ip", "card", "ssn", "phone"}
 
@@ -95,8 +104,12 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             if all(b <= x or a >= y for x, y, _, _ in found):
                 found.append((a, b, kind, normal(kind, text[a:b])))
     named: dict[str, str] = {}
-    for m in _NAMES.finditer(text):
-        gender, at = _TITLE_GENDER[m["title"]], m.start("name")
+    said = [(_TITLE_GENDER[m["title"]], m) for m in _NAMES.finditer(text)]
+    lowered = text.lower()
+    if any(c in lowered for c in _CUE_WORDS):
+        said += [("n", m) for m in _CUED.finditer(text) if m["name"].split(" ")[0] not in _TITLE_GENDER]
+    for gender, m in said:
+        at = m.start("name")
         words = m["name"].split(" ")
         for i, w in enumerate(words):
             if all(at + len(w) <= x or at >= y for x, y, _, _ in found):
@@ -181,6 +194,35 @@ def permute_text(text: str, key: bytes, label: str) -> str:
     return "".join(reversed(out))
 
 
+#: IPv4 blocks that are not for public hosts: a surrogate stays in its block (fixed values).
+IP_BLOCKS = [("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("224.0.0.0", 4), ("240.0.0.0", 4)]
+
+
+def _ip_number(text: str) -> int:
+    x = 0
+    for part in text.split("."):
+        x = x * 256 + int(part)
+    return x
+
+
+def _ip_block(x: int) -> tuple[int, int]:
+    """(first address, addresses) of the special block of an address; (0, 0) if it is public."""
+    for first, bits in IP_BLOCKS:
+        a, size = _ip_number(first), 1 << 32 - bits
+        if a <= x < a + size:
+            return a, size
+    return 0, 0
+
+
+def _iban_check(bban: str, country: str) -> str:
+    """The two check digits, by ISO 7064 mod 97-10."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in bban + country + '00')) % 97:02d}"
+
+
+def _ssn_valid(form: str) -> bool:
+    return form[:3] not in ("000", "666") and form[0] != "9" and form[3:5] != "00" and form[5:] != "0000"
+
+
 def _luhn(digits: str) -> int:
     """The check digit that completes `digits`."""
     total = sum(sum(divmod(int(c) * (2 if i % 2 == 0 else 1), 10)) for i, c in enumerate(reversed(digits)))
@@ -192,10 +234,14 @@ def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
     """The normal form of an entity's replacement."""
     label = f"{kind}|{attempt}"
     if kind == "ip":
-        x = 0
-        for part in form.split("."):
-            x = x * 256 + int(part)
-        x = permute(x, 1 << 32, key, label)
+        x = _ip_number(form)
+        first, size = _ip_block(x)
+        if size:
+            x = first + permute(x - first, size, key, f"{label}|{first}")
+        else:  # walked on until it is public again, which is a permutation of the public ones
+            x = permute(x, 1 << 32, key, label)
+            while _ip_block(x)[1]:
+                x = permute(x, 1 << 32, key, label)
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
     if kind == "email":
         local, _, domain = form.rpartition("@")
@@ -205,6 +251,17 @@ def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
         checked = _luhn(form[:-1]) == int(form[-1])
         body = form[0] + permute_text(form[1:-1] if checked else form[1:], key, f"{label}|{form[0]}|{checked}")
         return body + str(_luhn(body)) if checked else body
+    if kind == "iban":
+        country, bban = form[:2], form[4:]
+        if form[2:4] != _iban_check(bban, country):
+            return country + permute_text(form[2:], key, f"{label}|{country}|unchecked")
+        bban = permute_text(bban, key, f"{label}|{country}")
+        return country + _iban_check(bban, country) + bban
+    if kind == "ssn" and _ssn_valid(form):
+        form = permute_text(form, key, label)
+        while not _ssn_valid(form):
+            form = permute_text(form, key, label)
+        return form
     if kind == "phone":
         # An area code keeps a first digit of 2 to 9 where it has one.
         low = "2" <= form[0] <= "9"
@@ -236,12 +293,23 @@ def lay_out(kind: str, shown: str, form: str) -> str:
     return form
 
 
-def rewrite(text: str, key: bytes, redrawn: dict[tuple[str, str], int]) -> tuple[str, int]:
+def first_attempt(kind: str, entities: int) -> int:
+    """The attempt that a kind's draws begin with: names get room for 32 times their number."""
+    if ":" not in kind:
+        return 0
+    a = 0
+    while entities > 32 and 16 ** (3 + a) < 32 * entities:
+        a += 1
+    return a
+
+
+def rewrite(text: str, key: bytes, redrawn: dict[tuple[str, str], int], base: dict[str, int] | None = None) -> tuple[str, int]:
     """The text with every entity replaced, and their number."""
+    base = base or {}
     out, last = [], 0
     found = detect(text)
     for a, b, kind, form in found:
-        out += [text[last:a], lay_out(kind, text[a:b], surrogate(kind, form, key, redrawn.get((kind, form), 0)))]
+        out += [text[last:a], lay_out(kind, text[a:b], surrogate(kind, form, key, redrawn.get((kind, form), base.get(kind, 0))))]
         last = b
     return "".join([*out, text[last:]]), len(found)
 
@@ -257,7 +325,12 @@ def mentions(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("text"), run, "kind string, form string").distinct()
 
 
-def redraws(entities: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
+def first_attempts(entities: DataFrame) -> dict[str, int]:
+    """For each kind; kinds are few, whatever the corpus."""
+    return {r["kind"]: first_attempt(r["kind"], r["count"]) for r in entities.groupBy("kind").count().collect()}
+
+
+def redraws(entities: DataFrame, key: bytes, base: dict[str, int] | None = None, rounds: int = 20) -> DataFrame:
     """(kind, form, attempt): the entities whose first surrogate was taken.
 
     A surrogate is taken if another entity of its kind has it (the least form keeps it)
@@ -270,7 +343,10 @@ def redraws(entities: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
             made = [surrogate(k, f, key, t) for k, f, t in zip(kinds, forms, tries)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], ["kind", "form", "attempt", "made"])
 
-    drawn = save(map_arrow(entities.withColumn("attempt", F.lit(0)), draw, "kind string, form string, attempt int, made string"))
+    base = first_attempts(entities) if base is None else base
+    later = [F.when(F.col("kind") == k, a) for k, a in sorted(base.items()) if a]
+    begin = F.coalesce(*later, F.lit(0))
+    drawn = save(map_arrow(entities.withColumn("attempt", begin.cast("int")), draw, "kind string, form string, attempt int, made string"))
     real = entities.select(F.col("kind").alias("rk"), F.col("form").alias("rf"))
     for _ in range(rounds):
         owner = drawn.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "form")).alias("o")).where("n > 1")
@@ -284,18 +360,26 @@ def redraws(entities: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
         drawn = save(drawn.join(taken.select("kind", "form"), ["kind", "form"], "left_anti").unionByName(again))
     else:
         raise RuntimeError("surrogates did not become distinct; use another key")
-    return drawn.where("attempt > 0").select("kind", "form", "attempt")
+    return drawn.where(F.col("attempt") > begin).select("kind", "form", "attempt")
+
 
+def session_key(spark: SparkSession) -> str:
+    """The secret of the session's setting KEY_SETTING; without one, a new secret for this run."""
+    return spark.conf.get(KEY_SETTING, None) or token_hex(32)
 
-def replace_pii(docs: DataFrame, key: str = "surrogate-key", held: int = HELD_REDRAWS) -> DataFrame:
+
+def replace_pii(docs: DataFrame, key: str, held: int = HELD_REDRAWS) -> DataFrame:
     """`docs` with surrogates in text, and the new column n_replaced.
 
+    `key` is a secret; the same key gives the same surrogates in another run.
+
     Every row comes back, other columns unchanged; a null text stays null with 0
     replaced. Equal rows get equal results; an empty table gives none.
     """
     secret = blake2b(key.encode(), digest_size=32).digest()
     entities = save(mentions(docs))
-    again = redraws(entities, secret)
+    base = first_attempts(entities)
+    again = redraws(entities, secret, base)
     few = again.limit(held + 1).count() <= held
     table = {(r["kind"], r["form"]): r["attempt"] for r in again.collect()} if few else {}
     fields = [f for f in docs.schema.fields if f.name not in ("text", "n_replaced")]
@@ -310,7 +394,7 @@ def replace_pii(docs: DataFrame, key: str = "surrogate-key", held: int = HELD_RE
                 mine = table
                 if own:
                     mine = {(k, f): int(a) for k, f, a in (x.split("\x1f") for x in own)}
-                done, count = rewrite(t, secret, mine) if t else (t, 0)
+                done, count = rewrite(t, secret, mine, base) if t else (t, 0)
                 texts.append(done)
                 counts.append(count)
             yield pa.RecordBatch.from_arrays([*part.columns[: n - 2], pa.array(texts, pa.string()), pa.array(counts, pa.int64())], [*part.schema.names[: n - 2], "text", "n_replaced"])
@@ -337,4 +421,4 @@ def _with_own_redraws(rows: DataFrame, again: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op8 over all documents: doc_id, the rewritten text and the number of replacements."""
-    return replace_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return replace_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), session_key(spark))
