@@ -4,7 +4,7 @@ Each scan partition tokenises its documents and packs them in bounded buffers, s
 is shuffled. Whole multiples of the sequence length become sequences of their own; the
 remainders, longest first, go to the sequence of least estimated cost (a linear term in
 tokens plus a quadratic term in each piece, for attention) that still has room. A piece
-for which no sequence has room is cut over the cheapest ones with any. There are as many
+for which no sequence has room is cut over those with most room. There are as many
 sequences as the tokens need, so a buffer leaves less than one sequence of padding.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -54,19 +55,26 @@ def pack_lengths(lengths: np.ndarray, limit: int = MAX_TOKENS, cost: Cost = Cost
     held = np.flatnonzero(rest)
     held = held[np.argsort(-rest[held], kind="stable")]
     n_seq = -(-int(rest.sum()) // limit)
-    room, spent = np.full(n_seq, limit), np.zeros(n_seq)
+    room, spent = [limit] * n_seq, [0.0] * n_seq
+    # Sequences by cost; those without room for the piece at hand wait by room until pieces are shorter.
+    ready, waiting = [(0.0, s) for s in range(n_seq)], []
     rows = []
     for d in held.tolist():
         left, start = int(rest[d]), int(whole[d] * limit)
         while left:
-            fits = room >= left
-            if not fits.any():
-                fits = room > 0
-            s = int(np.argmin(np.where(fits, spent, np.inf)))
-            size = min(left, int(room[s]))
-            rows.append((d, start, size, len(doc) + s, limit - int(room[s])))
+            while waiting and -waiting[0][0] >= left:
+                s = heappop(waiting)[1]
+                heappush(ready, (spent[s], s))
+            while ready and room[ready[0][1]] < left:
+                s = heappop(ready)[1]
+                heappush(waiting, (-room[s], s))
+            s = heappop(ready)[1] if ready else heappop(waiting)[1]
+            size = min(left, room[s])
+            rows.append((d, start, size, len(doc) + s, limit - room[s]))
             room[s] -= size
             spent[s] += cost.of(size)
+            if room[s]:
+                heappush(ready, (spent[s], s))
             start, left = start + size, left - size
     if rows:
         out.append(list(np.array(rows, np.int64).T))
