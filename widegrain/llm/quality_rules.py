@@ -195,8 +195,11 @@ def _grow(cells: list[dict], tests: list[Test]) -> tuple[Test, ...]:
     while bad and good:
         best, gain, at = None, 1e-9, (0, 0)
         before = math.log2(bad / (bad + good))
+        below = {m: _up_to(cells, m) for m in {t.measure for t in tests}}
         for t in tests:
-            b, g = _counts(cells, [t])
+            b, g = below[t.measure][t.bin]
+            if t.above:
+                b, g = bad - b, good - g
             if b and b * (math.log2(b / (b + g)) - before) > gain:
                 best, gain, at = t, b * (math.log2(b / (b + g)) - before), (b, g)
         if best is None:
@@ -206,6 +209,18 @@ def _grow(cells: list[dict], tests: list[Test]) -> tuple[Test, ...]:
     return rule
 
 
+def _up_to(cells: list[dict], measure: str) -> dict[int, tuple[int, int]]:
+    """(bad, good) documents whose measure is at or below each cut: one pass for all cuts."""
+    counts = [[0, 0] for _ in range(len(CUTS) * 4)]
+    for c in cells:
+        counts[c[measure]][c["quality"] > 0] += c["count"]
+    out, bad, good = {}, 0, 0
+    for i, (b, g) in enumerate(counts):
+        bad, good = bad + b, good + g
+        out[i] = (bad, good)
+    return out
+
+
 def _prune(cells: list[dict], rule: tuple[Test, ...]) -> tuple[Test, ...]:
     """Drop final tests while the pruning documents say so; the shortest best prefix."""
     def worth(r):
