@@ -83,6 +83,25 @@ def test_packing_balances_cost():
     assert seq.max() + 1 == -(-lengths.sum() // 1024) or (seq.max() + 1) * 1024 - lengths.sum() < 1024
 
 
+def test_each_piece_goes_to_the_cheapest_sequence_with_room():
+    rng = np.random.default_rng(1)
+    for lengths in (rng.integers(1, 1500, 300), np.full(200, 300), rng.integers(1, 40, 500), np.array([1024, 5]), np.zeros(0, np.int64)):
+        cost = packing.Cost()
+        doc, start, length, seq, offset = packing.pack_lengths(lengths, 1024, cost)
+        whole = lengths // 1024
+        n = -(-int((lengths - whole * 1024).sum()) // 1024)
+        room, spent = {s: 1024 for s in range(n)}, dict.fromkeys(range(n), 0.0)
+        rows = [r for r in zip(doc.tolist(), start.tolist(), length.tolist(), (seq - whole.sum()).tolist(), offset.tolist()) if r[3] >= 0]
+        left = dict(enumerate((lengths - whole * 1024).tolist()))
+        for d, _, size, s, at in rows:
+            fits = [x for x in room if room[x] >= left[d]]
+            # Only a remainder that fits nowhere is cut, and then as little as possible.
+            assert (size == left[d] and spent[s] == min(spent[x] for x in fits)) if fits else (size == room[s] == max(room.values()))
+            assert at == 1024 - room[s]
+            room[s], spent[s], left[d] = room[s] - size, spent[s] + cost.of(size), left[d] - size
+        assert not any(left.values())
+
+
 class TestSentencePiece:
     codec = None
 
@@ -199,7 +218,7 @@ PERSONAL = f'Mail {MAIL} or +1 (743) 555-3824, also 743-555-3824; 70.23.22.57, 4
 
 def test_surrogates_are_typed_coreferent_and_distinct(spark, awkward, empty):
     rows = [(1, PERSONAL), (2, f"again {MAIL.upper()} and Frau Schmidt"), (3, None), (4, "nothing here"), (5, " ".join(f"10.0.0.{i}" for i in range(250)))]
-    out = {r["doc_id"]: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
     assert [x[2] for x in pii.detect(out[1]["text"])] == [x[2] for x in pii.detect(PERSONAL)]
     forms = {f for _, _, _, f in pii.detect(PERSONAL)}
     assert not forms & {f for _, _, _, f in pii.detect(out[1]["text"])} and all(f not in out[1]["text"] for f in forms if len(f) > 6)
@@ -210,8 +229,8 @@ def test_surrogates_are_typed_coreferent_and_distinct(spark, awkward, empty):
     assert out[3]["text"] is None and out[4]["text"] == "nothing here" and out[1]["n_replaced"] == 12
     assert len(set(out[5]["text"].split())) == 250
     for held in (100, -1):
-        assert pii.replace_pii(awkward, held=held).count() == awkward.count()
-    assert pii.replace_pii(empty).count() == 0
+        assert pii.replace_pii(awkward, held=held, key="k").count() == awkward.count()
+    assert pii.replace_pii(empty, key="k").count() == 0
 
 
 def test_taken_surrogates_are_drawn_again(spark):
@@ -228,15 +247,59 @@ def test_many_names_get_distinct_surrogates(spark, kind):
     key = b"k" * 32
     forms = {f"name{i:05d}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(10000)}
     again = {r["form"]: r["attempt"] for r in pii.redraws(spark.createDataFrame([(kind, f) for f in forms], "kind string, form string"), key).collect()}
-    made = {pii.surrogate(kind, f, key, again.get(f, 0)) for f in forms}
+    made = {pii.surrogate(kind, f, key, again.get(f, pii.first_attempt(kind, len(forms)))) for f in forms}
     assert len(made) == len(forms) and not made & forms
 
 
+def test_a_million_family_names_become_distinct(spark):
+    key, n = b"k" * 32, 1_000_000
+    entities = spark.range(n).selectExpr("'family:latin:n' AS kind", "concat('n', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS form")
+    again = pii.redraws(entities, key)
+    assert 0 < again.count() < n // 20
+    later = {r["form"]: r["attempt"] for r in again.collect()}
+    base = pii.first_attempt("family:latin:n", n)
+    made = {pii.surrogate("family:latin:n", r["form"], key, later.get(r["form"], base)) for r in entities.select("form").collect()}
+    assert len(made) == n
+
+
+def test_surrogates_keep_check_digits_and_ranges():
+    key = b"k" * 32
+    for iban in ("DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606"):
+        found = pii.detect(f"pay to {iban} now")
+        assert [(k, f) for _, _, k, f in found] == [("iban", iban)]
+        made = pii.surrogate("iban", iban, key)
+        assert made[:2] == iban[:2] and made != iban and int("".join(str(int(c, 36)) for c in made[4:] + made[:4])) % 97 == 1
+    for i in range(300):
+        ip = pii.surrogate("ip", f"{i % 223 + 1}.{i}.7.9" if i < 256 else f"192.168.{i - 256}.1", key)
+        before = f"{i % 223 + 1}.{i}.7.9" if i < 256 else f"192.168.{i - 256}.1"
+        assert pii._ip_block(pii._ip_number(ip)) == pii._ip_block(pii._ip_number(before))
+        assert pii._ssn_valid(pii.surrogate("ssn", f"{100 + i:03d}{i % 99 + 1:02d}{i + 1:04d}", key))
+
+
+def test_names_after_a_cue_without_a_title():
+    text = "Hello, my name is Vera Holm. Ich heiße Björn; меня зовут Иван Петров. Later Holm and Petrov spoke."
+    found = [(text[a:b], k.split(":")[0]) for a, b, k, _ in pii.detect(text)]
+    assert found == [("Vera", "given"), ("Holm", "family"), ("Björn", "family"), ("Иван", "given"), ("Петров", "family"), ("Holm", "family")]
+
+
+def test_coreference_and_distinctness_equal_brute_force(spark):
+    rows = [(i, f"Mr {chr(65 + i % 7)}ohn {chr(65 + i % 11)}lough wrote from 10.1.{i % 5}.{i % 9}, then from 8.8.{i % 5}.{i % 9}; card 4111 1111 1111 1111, mail u{i % 13}@ex.org") for i in range(120)]
+    out = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
+    there, back = {}, {}
+    for i, text in rows:
+        before, after = pii.detect(text), pii.detect(out[i])
+        assert [k for _, _, k, _ in before] == [k for _, _, k, _ in after]
+        for (_, _, kind, a), (_, _, _, b) in zip(before, after):
+            # One surrogate for each entity, one entity for each surrogate, and none of them real.
+            assert there.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a
+    assert not {(k, f) for (k, f) in there} & {(k, f) for (k, f) in back}
+
+
 def test_documents_with_many_titled_names(spark):
     names = ["N" + f"{i:05d}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(10000)]
     rows = [(i, f"Mr {n} came") for i, n in enumerate(names)] + [(10000 + i, f"then Mr {n}") for i, n in enumerate(names)]
     for held in (100_000, 100):
-        out = {r["doc_id"]: r["text"].split("Mr ")[1].split(" ")[0] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), held=held).collect()}
+        out = {r["doc_id"]: r["text"].split("Mr ")[1].split(" ")[0] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), held=held, key="k").collect()}
         assert len(set(out.values())) == 10000 and not set(out.values()) & set(names)
         assert all(out[i] == out[10000 + i] for i in range(10000))
 
@@ -254,7 +317,7 @@ def test_further_mentions_go_with_the_titled_one(spark):
     text = "Schmidt came. Mrs Anna Schmidt sat; later Schmidt said to Anna: schmidt, Schmidts and anna@schmidt.com stay in type. Dr SCHMIDT"
     found = [(text[a:b], k.split(":")[0]) for a, b, k, _ in pii.detect(text)]
     assert found == [("Schmidt", "family"), ("Anna", "given"), ("Schmidt", "family"), ("Schmidt", "family"), ("Anna", "given"), ("anna@schmidt.com", "email"), ("SCHMIDT", "family")]
-    out = {r["doc_id"]: r for r in pii.replace_pii(spark.createDataFrame([(1, text), (2, "Schmidt without a title")], "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r for r in pii.replace_pii(spark.createDataFrame([(1, text), (2, "Schmidt without a title")], "doc_id long, text string"), key="k").collect()}
     made = re.search(r"Mrs (\w+) (\w+) sat", out[1]["text"])
     assert out[1]["n_replaced"] == 7 and f"later {made[2]} said to {made[1]}:" in out[1]["text"] and out[1]["text"].startswith(made[2]) and out[1]["text"].endswith(made[2].upper())
     assert out[2]["text"] == "Schmidt without a title"
@@ -278,6 +341,54 @@ def test_statistics_equal_brute_force(spark, awkward):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def brute_cover(grow, prune, cuts, min_precision, min_cover, max_rules):
+    """Sequential covering with every test counted cell by cell."""
+    from math import log2
+
+    def counts(cells, tests):
+        hit = [c for c in cells if all((c[m] > i) == above for m, above, i in tests)]
+        return sum(c["count"] for c in hit if c["quality"] == 0), sum(c["count"] for c in hit if c["quality"] > 0)
+
+    tests = [(m, True, i) for m in cuts for i in reversed(range(len(cuts[m])))] + [(m, False, i) for m in cuts for i in range(len(cuts[m]))]
+    rules = []
+    while len(rules) < max_rules:
+        rule, (bad, good) = [], counts(grow, [])
+        while bad and good:
+            gains = [(b * (log2(b / (b + g)) - log2(bad / (bad + good))) if b else 0.0) for b, g in (counts(grow, [*rule, x]) for x in tests)]
+            best = max(gains, default=0)
+            if best <= 1e-9:
+                break
+            rule.append(tests[gains.index(best)])
+            bad, good = counts(grow, rule)
+        if not rule:
+            break
+        worth = [((b - g) / (b + g) if b + g else -1.0) for b, g in (counts(prune, rule[:n]) for n in range(1, len(rule) + 1))]
+        rule = rule[: worth.index(max(worth)) + 1]
+        bad, good = counts([*grow, *prune], rule)
+        if bad < min_cover or bad < min_precision * (bad + good):
+            break
+        rules.append(tuple(rule))
+        grow, prune = ([c for c in cells if not all((c[m] > i) == above for m, above, i in rule)] for cells in (grow, prune))
+    return rules
+
+
+def test_covering_equals_brute_force():
+    rng = np.random.default_rng(3)
+    sizes = []
+    for _ in range(40):
+        cuts = {m: list(range(rng.integers(1, 4))) for m in quality_rules.MEASURES}
+        cells = []
+        for _ in range(60):
+            c = {m: int(rng.integers(0, len(k) + 1)) for m, k in cuts.items()}
+            odd = c["words"] > 0 and c["dup_line_share"] == 0 or c["repeat_share"] > 0
+            cells.append({**c, "quality": int(rng.random() < (0.1 if odd else 0.95)), "count": int(rng.integers(1, 9))})
+        found = quality_rules.cover(cells[:40], cells[40:], cuts, 0.7, 5, 12)
+        want = brute_cover(cells[:40], cells[40:], cuts, 0.7, 5, 12)
+        assert [tuple((x.measure, x.above, x.bin) for x in r) for r in found.rules] == want
+        sizes.append([len(r) for r in want])
+    assert any(len(s) > 1 for s in sizes) and any(n > 1 for s in sizes for n in s)
+
+
 def test_decision_list_learns_what_separates(spark, awkward, empty):
     rng = np.random.default_rng(0)
     good = [(i, " ".join(f"w{x}" for x in rng.integers(0, 4000, 80))) for i in range(200)]

@@ -26,6 +26,8 @@ FILTERS = 8
 TRAIN_DOCS = 600
 TRAIN_WINDOWS = 3
 TRAIN_CHARS = 240
+#: Share of held-out documents, told correctly, whose scores count as too low.
+REJECT = 0.001
 #: Windows convolved at a time; bounds the memory of a worker.
 BATCH = 512
 
@@ -89,14 +91,16 @@ def cut_windows(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nd
 def train(texts: list[str], labels: list[str], epochs: int = 8, seed: int = 7, rate: float = 0.02) -> ByteCnn | None:
     """Fit the network by Adam on windows of labelled text; None if there is no text."""
     langs = sorted(set(labels))
-    parts = [fold(np.frombuffer(t.encode("utf-8", "replace")[:WINDOW], np.uint8)) for t in texts]
-    keep = [i for i, p in enumerate(parts) if len(p)]
-    if not keep:
+    parts = []
+    for t, lang in zip(texts, labels):
+        raw = fold(np.frombuffer(t.encode("utf-8", "replace"), np.uint8))
+        parts += [(raw[lo : lo + WINDOW], langs.index(lang)) for lo in range(0, len(raw), WINDOW)]
+    if not parts:
         return None
-    x = np.zeros((len(keep), WINDOW + 3), np.uint8)
-    for row, i in enumerate(keep):
-        x[row, : len(parts[i])] = parts[i]
-    y = np.array([langs.index(labels[i]) for i in keep])
+    x = np.zeros((len(parts), WINDOW + 3), np.uint8)
+    for row, (raw, _) in enumerate(parts):
+        x[row, : len(raw)] = raw
+    y = np.array([lang for _, lang in parts])
     weight = 1 / np.bincount(y, minlength=len(langs)).clip(1)[y]
     weight /= weight.mean()
     rng = np.random.default_rng(seed)
@@ -198,15 +202,30 @@ def predict(docs: DataFrame, model: ByteCnn | None, keep: list[str] | None = Non
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 
-def identified(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
-    """Rows of `docs` whose language is determined with a score of `min_score` or more.
+def least_score(docs: DataFrame, model: ByteCnn | None, reject: float) -> float:
+    """The score below which a share `reject` of the held-out documents of known language lies.
 
-    All columns come back unchanged; a row is rejected if its text is null, has no
-    letter, or its best language stays below `min_score`.
+    Measured on all held-out documents whose language was told correctly, so it means the
+    same for any number of languages; 0 without such documents.
+    """
+    held = docs.where((fold_of() == 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    told = predict(held, model, ["lang"]).where(F.col("lang") == F.col("lang_pred"))
+    return float(told.agg(F.percentile_approx("score", reject, 100_000)).first()[0] or 0.0)
+
+
+def identified(docs: DataFrame, reject: float = REJECT) -> DataFrame:
+    """Rows of `docs` whose language is told, with that language where theirs is null.
+
+    A row is rejected if its text is null, has no letter, or if its score is below that
+    of all but a share `reject` of the held-out documents (see `least_score`); the mean
+    score of a text of mixed or foreign matter is. Other columns come back unchanged.
     """
     names = docs.columns
-    scored = predict(docs, fit(docs), keep=names)
-    return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*names)
+    model = fit(docs)
+    least = least_score(docs, model, reject)
+    scored = predict(docs, model, keep=names)
+    kept = scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return kept.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in names])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
