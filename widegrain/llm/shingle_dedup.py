@@ -1,12 +1,16 @@
-"""Near-dedup by exact Jaccard similarity of word-shingle sets, through prefix filtering.
+"""SimHash near-dedup with links held to an exact Jaccard similarity of word-shingle sets.
+
+Candidates come from Golay-code fuzzy hashing of SimHash fingerprints (`simhash_dedup`),
+which finds what differs by up to four of 64 bits: most copies, but few of the pairs at a
+similarity of 0.8, which differ by about ten. The others are found by prefix filtering.
 
 All shingles have one order: those that a sample of documents holds often come last, the
 others by hash. Two sets with Jaccard >= t share one of their first n - ceil(t n) + 1
 shingles in any such order, so documents meet in the buckets of these alone and no pair
 is missed; the sample only decides how many pairs meet. Pairs of a bucket pass three
 bounds that no true pair fails (sizes, places in the order, parity bits of the sets) and
-the rest are verified on the whole sets. Buckets are first thinned by a few pairs for
-each row; pairs that these connect already aren't compared again.
+the rest are verified on the whole sets. The fuzzy hashes' pairs and a few pairs for each
+row of a bucket are verified first; pairs that these connect aren't compared again.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from widegrain.llm import kernels
 from widegrain.llm.common import map_arrow, save, text_buffer, text_slices
 from widegrain.llm.components import connected_components
-from widegrain.llm.simhash_dedup import BUCKET_ROWS, HELD_BUCKETS, U64, shingle_hashes
+from widegrain.llm.simhash_dedup import BUCKET_ROWS, HELD_BUCKETS, U64, fingerprint_links, set_bits, shingle_hashes
 
 #: Least Jaccard similarity of a link, as a fraction.
 NUM, DEN = 4, 5
@@ -174,6 +178,17 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: in
     return save(map_arrow(both.select("a", "b", "sa", "sb"), check, "a long, b long"))
 
 
+def _fuzzy_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b) nodes of near fingerprints: each with the first of its own fingerprint, and
+    these along the forest of links that fuzzy hashing finds; a pair may lack similarity."""
+    heads = save(classes.groupBy("fp").agg(F.min("node").alias("head")))
+    own = classes.select("node", F.col("fp").alias("f")).join(heads, F.col("f") == F.col("fp")).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    links = fingerprint_links(heads).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    left, right = (heads.select(F.col("fp").alias(f"h{x}"), F.col("head").alias(x)) for x in "ab")
+    found = links.join(left, F.col("fa") == F.col("ha")).join(right, F.col("fb") == F.col("hb"))
+    return own.unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def shingle_components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, node, component_id): groups of documents over links of Jaccard >= NUM / DEN.
 
@@ -198,12 +213,12 @@ def shingle_components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id"
             first = h[place < take[doc]].view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(first))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array(node_keys(doc, h, size)), pa.array(n, pa.int32()), *[pa.array(words[:, i].copy()) for i in range(4)], lists],
-                ["doc_id", "doc", "part", "node", "n", *PARITY, "first"],
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(node_keys(doc, h, size)), pa.array(n, pa.int32()), pa.array(set_bits(h, n).view(np.int64)), *[pa.array(words[:, i].copy()) for i in range(4)], lists],
+                ["doc_id", "doc", "part", "node", "n", "fp", *PARITY, "first"],
             )
 
-    prints = save(map_arrow(rows, run, "doc_id long, doc long, part long, node long, n int, b0 long, b1 long, b2 long, b3 long, first array<long>"))
-    classes = save(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc", "part")).alias("at"), F.count("*").alias("rows")))
+    prints = save(map_arrow(rows, run, "doc_id long, doc long, part long, node long, n int, fp long, b0 long, b1 long, b2 long, b3 long, first array<long>"))
+    classes = save(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc", "part")).alias("at"), F.count("*").alias("rows"), F.first("fp").alias("fp"), F.first("n").alias("n")))
     copied = save(classes.where("rows > 1").select(F.col("node").alias("__n"), "at"))
     own = prints.join(copied, (F.col("node") == F.col("__n")) & ((F.col("doc") != F.col("at.doc")) | (F.col("part") != F.col("at.part"))), "left_anti")
     keyed = own.select("node", F.posexplode("first").alias("place", "k")).select("k", "node", "place").repartition("k").sortWithinPartitions("k", "node")
@@ -220,7 +235,9 @@ def shingle_components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id"
 
     met = map_arrow(keyed, meeting, "k long, node long, place int")
     shared = save(met.join(prints.select("node", "n", *PARITY).dropDuplicates(["node"]), "node"))
-    links = _verified(save(_candidates(shared.withColumn("root", F.col("node")), NEIGHBOURS)), classes, rows, shingle)
+    fuzzy = _fuzzy_pairs(classes.where("n > 0"))
+    few = _candidates(shared.withColumn("root", F.col("node")), NEIGHBOURS)
+    links = _verified(save(fuzzy.union(few).distinct()), classes, rows, shingle)
     groups = save(connected_components(links))
     rooted = shared.join(groups.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     links = links.union(_verified(save(_candidates(rooted, None)), classes, rows, shingle))

@@ -60,10 +60,19 @@ def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[
 
 def fingerprints_of(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
     """Fingerprints of many texts (UTF-8 bytes and offsets)."""
-    out = np.zeros(len(offsets) - 1, U64)
     h, held, count = shingle_hashes(buf, offsets, shingle)
+    counts = np.zeros(len(offsets) - 1, np.int64)
+    counts[held] = count
+    return set_bits(h, counts)
+
+
+def set_bits(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of `counts` hashes in order, the bits set in over half of them."""
+    out = np.zeros(len(counts), U64)
+    held = np.flatnonzero(counts)
     if not len(held):
         return out
+    count = counts[held]
     group_at = np.cumsum(count) - count
     votes = np.zeros((len(held), 64), np.int64)
     step = 1 << 16
