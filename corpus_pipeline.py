@@ -13,7 +13,7 @@ from widegrain.llm.common import save, table
 from widegrain.llm.language_id import identified
 from widegrain.llm.line_dedup import dedup_blocks
 from widegrain.llm.packing import pack
-from widegrain.llm.pii import replace_pii
+from widegrain.llm.pii import replace_pii, session_key
 from widegrain.llm.shingle_dedup import shingle_keep_first
 
 
@@ -23,7 +23,7 @@ def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the others go."""
+    """Documents whose language can be told, with it where it was null; the others go."""
     return identified(docs)
 
 
@@ -33,13 +33,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: Jaccard of five-word shingles >= 0.8, exactly."""
+    """One document of each near-duplicate group: SimHash candidates and those that it misses,
+    linked at a Jaccard similarity of five-word shingles of 0.8 or more."""
     return shingle_keep_first(docs, shingle=5)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by surrogates."""
-    return _with_text(docs, replace_pii(docs))
+    return _with_text(docs, replace_pii(docs, session_key(spark)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: No stage but the line rules can be said in SQL; tests hold the near-dedup stage against all pairs, not run() as a whole.
+#: A trained network, keyed surrogates and a packing order can't be said in SQL; tests hold
+#: the rows of run() against a plain version of every stage.
 ORACLE_SQL: str | None = None
 
 
