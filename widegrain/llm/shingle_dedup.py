@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from widegrain.llm import kernels
-from widegrain.llm.common import map_arrow, save, text_buffer, text_slices
+from widegrain.llm.common import SLICE_BYTES, map_arrow, save, text_buffer, text_slices
 from widegrain.llm.components import connected_components
 from widegrain.llm.simhash_dedup import BUCKET_ROWS, HELD_BUCKETS, U64, fingerprint_links, set_bits, shingle_hashes
 
@@ -74,7 +74,7 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, U64)
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SLICE_BYTES // 2):
             _, h = shingle_sets(*text_buffer(part.column(0)), shingle, none, none)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
@@ -158,7 +158,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: in
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, U64)
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SLICE_BYTES // 2):
             doc, h = shingle_sets(*text_buffer(part.column(1)), shingle, none, none)
             cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())], ["node", "s"])
@@ -200,7 +200,7 @@ def shingle_components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id"
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("part", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE_BYTES // 2):
             size = batch.num_rows
             doc, h = shingle_sets(*text_buffer(batch.column(1)), shingle, often, counts)
             cut = np.searchsorted(doc, np.arange(size + 1))
