@@ -21,6 +21,8 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 21
 #: Bytes of an Arrow batch between Spark and a Python worker, unless the session sets its own.
 ARROW_BYTES = 8 << 20
+#: Spark's setting to delete a query's shuffle files when the query ends.
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_SETTING, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 _OWN_DIRS: dict[str, str] = {}
@@ -46,11 +48,20 @@ def shared_dir(spark: SparkSession) -> str:
 def save(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again, which cuts its lineage.
 
-    A lost executor then costs a reread, not a recomputation.
+    A lost executor then costs a reread, not a recomputation. The shuffle files that the
+    write needed are deleted when it is done.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    (df.select(*keep) if keep else df).write.parquet(path)
+    before = spark.conf.get(CLEANUP_SETTING, None)
+    spark.conf.set(CLEANUP_SETTING, "true")
+    try:
+        (df.select(*keep) if keep else df).write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_SETTING)
+        else:
+            spark.conf.set(CLEANUP_SETTING, before)
     return spark.read.schema((df.select(*keep) if keep else df).schema).parquet(path)
 
 
