@@ -332,3 +332,12 @@ def test_embeddings_equal_all_pairs(spark, blocks, pivots, chunk):
     again = {(r["vec_id"], r["n_links"]) for r in embedding_dedup.near_vectors(twice).collect()}
     one = near[:3, :3].sum(axis=1) + near[:3, 1] - 1
     assert again == {(i, int(one[i])) for i in range(3)}
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        base = rng.integers(0, 1 << 63, int(rng.integers(1, 900))).astype(np.uint64)
+        other = np.concatenate([base[: int(rng.integers(0, len(base) + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, 600))).astype(np.uint64)])
+        gap = shingle_dedup.parity_gap(shingle_dedup.parities(base), shingle_dedup.parities(other))
+        assert gap <= len(np.setxor1d(base, other)) and shingle_dedup.parity_gap(shingle_dedup.parities(other), shingle_dedup.parities(base)) == gap

@@ -8,8 +8,8 @@ All shingles have one order: those that a sample of documents holds often come l
 others by hash. Two sets with Jaccard >= t share one of their first n - ceil(t n) + 1
 shingles in any such order, so documents meet in the buckets of these alone and no pair
 is missed; the sample only decides how many pairs meet. Pairs of a bucket pass three
-bounds that no true pair fails (sizes, places in the order, parity bits of the sets) and
-the rest are verified on the whole sets. The fuzzy hashes' pairs and a few pairs for each
+bounds that no true pair fails (sizes, places in the order, parity bits of the sets), then
+a sharper one (parity bits as long as the sets), and the rest are verified on the sets. The fuzzy hashes' pairs and a few pairs for each
 row of a bucket are verified first; pairs that these connect aren't compared again.
 """
 
@@ -68,6 +68,25 @@ def prefix_size(n):
     return n - -(-NUM * n // DEN) + 1
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """For each of two to four times as many classes of hashes as the set has, whether it
+    holds an odd number of the class, as packed bits."""
+    size = max(256, 1 << (2 * len(h)).bit_length())
+    bits = np.zeros(size, np.uint8)
+    np.bitwise_xor.at(bits, (kernels.mix(h) & U64(size - 1)).astype(np.int64), 1)
+    return np.packbits(bits)
+
+
+def parity_gap(x: np.ndarray, y: np.ndarray) -> int:
+    """Classes in which the parities of two sets differ: no more than elements that do."""
+    # A class of the smaller sketch is some classes of the larger one together.
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many documents of a sample hold, sorted, and their counts."""
     every = max(1, docs.count() // SAMPLE_DOCS)
@@ -161,10 +180,27 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: in
         for part in text_slices(batches, limit=SLICE_BYTES // 2):
             doc, h = shingle_sets(*text_buffer(part.column(1)), shingle, none, none)
             cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())], ["node", "s"])
+            sketch = [parities(h[x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(np.diff(cut)), pa.array(sketch, pa.binary()), pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())], ["node", "n", "p", "s"]
+            )
+
+    held = save(map_arrow(texts, sets, "node long, n long, p binary, s binary"))
+
+    def sides(of: DataFrame, *cols: str) -> DataFrame:
+        left, right = (held.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in cols]) for x in "ab")
+        return of.join(left, "a").join(right, "b")
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose parities allow the overlap; whole sets are moved for these alone."""
+        for batch in batches:
+            ok = []
+            for na, nb, x, y in zip(*[batch.column(c).to_pylist() for c in range(2, 6)]):
+                ok.append((NUM + DEN) * parity_gap(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= (DEN - NUM) * (na + nb))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    held = save(map_arrow(texts, sets, "node long, s binary"))
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    close = save(map_arrow(sides(pairs, "n", "p").select("a", "b", "na", "nb", "pa", "pb"), likely, "a long, b long"))
+    both = sides(close, "s")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
