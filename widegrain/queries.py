@@ -129,7 +129,11 @@ def row_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders through the CSV source: written once to the shared folder, then read with a schema."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="widegrain-csv-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="widegrain-csv-")
     folder = f"{folder.rstrip('/')}/widegrain-csv-{uuid.uuid4().hex}"
     cols = "o_orderkey long, o_orderstatus string, o_orderpriority string"
     spark.read.parquet(f"{sf_dir}/orders.parquet").select(*[c.split()[0] for c in cols.split(", ")]).write.option("header", True).csv(f"{folder}/orders.csv")
