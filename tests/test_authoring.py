@@ -72,7 +72,7 @@ def test_emit_and_command_line(tmp_path):
     path.write_text(U.MAIN)
     files = emit(U.manifest(), str(tmp_path / "out"), "data")
     assert files[-1].endswith("run.sh") and len(files) == 7
-    assert main(["validate", str(path)]) == 0 and main(["estimate", str(path)]) == 0
+    assert main(["validate", str(path)]) == 0 and main(["estimate", str(path)]) == 0 and main(["suggest", str(path)]) == 0
     path.write_text(U.MAIN.replace("strategy: elimination", "strategy: split"))
     assert main(["emit", str(path), "--out", str(tmp_path / "no")]) == 1 and main(["validate", str(tmp_path / "none.yaml")]) == 1
 

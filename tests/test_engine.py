@@ -141,6 +141,18 @@ def test_write_checks_what_was_written(spark, tmp_path, engine):
     assert engine.write("class_summary", str(tmp_path / "t")).count() == 13
 
 
+def test_metrics_say_how_they_add_up(spark, tmp_path, engine):
+    rule = lambda df: {f.name: f.metadata["sum_rule"] for f in df.schema.fields if f.metadata}
+    wide, seen = engine.table("department_financial"), engine.table("student_experience")
+    assert rule(wide) == {"tuition_paid": "any_rows", "class_budget": "with_placeholder_rows", "salary": "with_placeholder_rows"}
+    assert rule(seen)["satisfaction_score"] == "by_weight"
+    wide.write.parquet(str(tmp_path / "t"))
+    assert rule(spark.read.parquet(str(tmp_path / "t"))) == rule(wide)
+    # What the rule says: without placeholder rows only the first metric keeps its sum.
+    named = engine.combination_rows("department_financial")
+    assert total(named, "tuition_paid") == pytest.approx(total(wide, "tuition_paid")) and total(named, "salary") == 0
+
+
 def test_plan_has_no_python_and_prunes_columns(spark, engine):
     plan = engine.table("student_experience")._jdf.queryExecution().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan

@@ -5,7 +5,8 @@ from widegrain.plans.estimate import estimate_rows, estimate_table_rows, fan_out
 from widegrain.plans.manifest_yaml import parse_manifest, serialize_manifest
 from widegrain.plans.model import UNALLOCATED
 from widegrain.plans.planner import plan_table
-from widegrain.plans.rules import validate
+from widegrain.plans.rules import errors, validate
+from widegrain.plans.suggest import Size, size_of, suggest
 
 
 def rules(text):
@@ -92,6 +93,25 @@ def test_estimates():
     assert estimate_table_rows(U.manifest(), "department_financial")["combination"] == 117
 
 
+def test_suggestions_for_simpler_tables():
+    m = parse_manifest(BIG)
+    assert size_of(m) == Size(180800, 800, 8, 2)
+    found = suggest(m, top=100)
+    by = {s.change: s for s in found}
+    # Without professors there is no fan-out by assignment, and one allocation less; salary becomes one row's total.
+    assert by["drop Professor from all"].saves == Size(60000, 0, 2, 1)
+    # Reserved tuition needs no weights but a row for each student; salary already has its rows.
+    assert by["reserve tuition"].saves.weights == 2
+    # Eliminated tuition would need correction rows for each student and saves no row.
+    assert "eliminate tuition" not in by
+    assert [s.impact for s in found] == sorted((s.impact for s in found), reverse=True) and all(s.impact > 0 for s in found)
+    assert all(not errors(s.manifest) and size_of(m) == size_of(s.manifest) + s.saves for s in found)
+    assert suggest(m) == found[:5] and by["reserve tuition"].manifest.path("tuition") == ()
+    assert suggest(parse_manifest(BIG.replace("strategy: allocation", "strategy: split"))) == []
+    # Non-additive metrics keep their weights: neither reserved nor eliminated.
+    assert not any("satisfaction_score" in s.change and not s.change.startswith("remove") for s in suggest(U.manifest(), 100))
+
+
 def test_unneeded_hops_are_pruned():
     plan = plan_table(U.manifest(), "student_experience")
     tuition = next(m for m in plan.metrics if m.name == "tuition_paid")

@@ -1,4 +1,4 @@
-"""python -m widegrain validate | estimate | build | emit | introspect"""
+"""python -m widegrain validate | estimate | suggest | build | emit | introspect"""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from widegrain.authoring.grid import build_manifest, state_of
 from widegrain.plans.estimate import estimate_table_rows
 from widegrain.plans.manifest_yaml import load_manifest, save_manifest
 from widegrain.plans.rules import validate
+from widegrain.plans.suggest import suggest
 
 
 def _session():
@@ -34,7 +35,7 @@ def _report(manifest) -> bool:
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="widegrain")
-    parser.add_argument("command", choices=["validate", "estimate", "build", "emit", "introspect"])
+    parser.add_argument("command", choices=["validate", "estimate", "suggest", "build", "emit", "introspect"])
     parser.add_argument("manifest")
     parser.add_argument("--data", default="data")
     parser.add_argument("--format", choices=["csv", "parquet"], default="csv")
@@ -53,6 +54,9 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "estimate":
         for t in manifest.tables:
             print(t.name, estimate_table_rows(manifest, t.name))
+    elif args.command == "suggest":
+        for i, s in enumerate(suggest(manifest), 1):
+            print(f"{i}. {s.change}: saves {s.saves.rows} rows, {s.saves.columns} columns, {s.saves.weights} weights; {s.loses}")
     elif args.command == "emit":
         print("\n".join(emit(manifest, args.out, args.data, args.format)))
     elif args.command == "build":

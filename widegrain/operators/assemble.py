@@ -21,6 +21,11 @@ from widegrain.plans.model import Manifest
 from widegrain.plans.planner import GrainGroup, MetricPlan, TablePlan
 from widegrain.sources.catalog import Catalog
 
+#: Metadata of a metric's column: sums of any rows hold, only sums that include the placeholder
+#: rows do, or the column must be averaged by its weight. Parquet keeps it.
+SUM_RULE = "sum_rule"
+SUM_RULES = ("any_rows", "with_placeholder_rows", "by_weight")
+
 
 @dataclass(frozen=True)
 class Options:
@@ -64,7 +69,15 @@ class Assembly:
         elif full:
             branches += self._pipeline([m for g in full for m in g.metrics], self.entities, apart=False)
         branches += [self._summary(g) for g in self.plan.summarizing]
-        return reduce(DataFrame.unionByName, branches)
+        return self._flagged(reduce(DataFrame.unionByName, branches))
+
+    def _flagged(self, built: DataFrame) -> DataFrame:
+        """Each metric's column says in its metadata how it may be added up (see SUM_RULES)."""
+        rules = {}
+        for m in self.plan.metrics:
+            placed = m.reserved or m.hops_by("elimination") or (m.hops and self.options.orphans == "reserve")
+            rules[m.name] = SUM_RULES[2] if not m.additive else SUM_RULES[1] if placed else SUM_RULES[0]
+        return built.select(*[F.col(c).alias(c, metadata={SUM_RULE: rules[c]}) if c in rules else F.col(c) for c in built.columns])
 
     # -- the output schema
 
