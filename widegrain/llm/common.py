@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +46,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
-def save(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def save(df: DataFrame, keep: list[str] | None = None, folder: str = "") -> DataFrame:
     """Write a table to the shared folder and read it again, which cuts its lineage.
 
     A lost executor then costs a reread, not a recomputation. The shuffle files that the
-    write needed are deleted when it is done.
+    write needed are deleted when it is done. With `folder`, a name made by `scratch`, the
+    table lies there and goes with it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = "/".join([shared_dir(spark), *([folder] if folder else []), uuid.uuid4().hex])
     before = spark.conf.get(CLEANUP_SETTING, None)
     spark.conf.set(CLEANUP_SETTING, "true")
     try:
@@ -65,13 +67,29 @@ def save(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return spark.read.schema((df.select(*keep) if keep else df).schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what `save` has written in this application."""
     path = _OWN_DIRS.pop(spark.sparkContext.applicationId, None)
     if path:
-        jvm = spark.sparkContext._jvm
-        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+        _delete(spark, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder name for `save`, whose tables are deleted at the end of the block.
+
+    What is read after it must have been saved elsewhere.
+    """
+    name = f"scratch-{uuid.uuid4().hex}"
+    try:
+        yield name
+    finally:
+        _delete(spark, f"{shared_dir(spark)}/{name}")
 
 
 def ship(spark: SparkSession) -> None:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from widegrain.llm import kernels
-from widegrain.llm.common import map_arrow, save, text_buffer, text_slices
+from widegrain.llm.common import map_arrow, save, scratch, text_buffer, text_slices
 
 ORDER, BITS = 3, 21
 ALPHABET = 1 << BITS
@@ -124,12 +124,12 @@ def _left(d: tuple[float, float, float]) -> Column:
     return F.col("c") - F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
 
 
-def _level(counts: DataFrame, cutoff: int) -> tuple[DataFrame, DataFrame]:
+def _level(counts: DataFrame, cutoff: int, folder: str) -> tuple[DataFrame, DataFrame]:
     """(k, x, c, own) of the n-grams kept and (x, weight) of their contexts."""
     left = _left(discounts(counts))
     kept = F.col("c") >= cutoff
     per = counts.groupBy(F.shiftright("k", BITS).alias("x")).agg(F.sum("c").alias("total"), F.sum(F.when(kept, left).otherwise(0.0)).alias("left"))
-    per = save(per.select("x", "total", (1 - F.col("left") / F.col("total")).alias("weight")))
+    per = save(per.select("x", "total", (1 - F.col("left") / F.col("total")).alias("weight")), folder=folder)
     own = counts.where(kept).withColumn("y", F.shiftright("k", BITS)).join(per, F.col("y") == F.col("x"))
     return own.select("k", "x", "c", (left / F.col("total")).alias("own")), per.select("x", "weight")
 
@@ -138,18 +138,25 @@ def model(counts: DataFrame, cutoff: int = CUTOFF) -> tuple[DataFrame, DataFrame
     """(w, base, back) for single symbols and (k, c, gain) for bigrams and trigrams.
 
     base is log p(w), back the log weight of w as a context; a row with w = -1 holds the
-    log-probability of an unknown symbol and the log weight of the start of a text.
+    log-probability of an unknown symbol and the log weight of the start of a text. The
+    tables that both are made of are deleted when both are written.
     """
+    with scratch(counts.sparkSession) as folder:
+        single, gains = _parts(counts, cutoff, folder)
+        return save(single), save(gains)
+
+
+def _parts(counts: DataFrame, cutoff: int, folder: str) -> tuple[DataFrame, DataFrame]:
     low = (1 << BITS) - 1
-    three = save(counts)
+    three = save(counts, folder=folder)
     # A lower order counts the different symbols seen before it.
-    two = save(three.groupBy(F.col("k").bitwiseAND((1 << 2 * BITS) - 1).alias("k")).agg(F.count("*").alias("c")))
-    one = save(two.groupBy(F.col("k").bitwiseAND(low).alias("k")).agg(F.count("*").alias("c")))
-    own1, per1 = _level(one, 1)
-    own2, per2 = _level(two, 1)
-    own3, per3 = _level(three, cutoff)
+    two = save(three.groupBy(F.col("k").bitwiseAND((1 << 2 * BITS) - 1).alias("k")).agg(F.count("*").alias("c")), folder=folder)
+    one = save(two.groupBy(F.col("k").bitwiseAND(low).alias("k")).agg(F.count("*").alias("c")), folder=folder)
+    own1, per1 = _level(one, 1, folder)
+    own2, per2 = _level(two, 1, folder)
+    own3, per3 = _level(three, cutoff, folder)
     rest = F.broadcast(per1.select(F.col("weight").alias("rest")))
-    p1 = save(own1.crossJoin(rest).select(F.col("k").alias("w"), (F.col("own") + F.col("rest") / ALPHABET).alias("p1")))
+    p1 = save(own1.crossJoin(rest).select(F.col("k").alias("w"), (F.col("own") + F.col("rest") / ALPHABET).alias("p1")), folder=folder)
     back = per2.select(F.col("x").alias("w"), F.col("weight").alias("w2"))
     single = p1.join(back, "w", "full").select("w", F.log("p1").alias("base"), F.coalesce(F.log("w2"), F.lit(0.0)).alias("back"))
     start = START << BITS | START
@@ -157,14 +164,14 @@ def model(counts: DataFrame, cutoff: int = CUTOFF) -> tuple[DataFrame, DataFrame
     single = single.unionByName(edge.select(F.lit(-1).cast("long").alias("w"), "base", "back"))
     last, head = F.col("k").bitwiseAND(low), F.col("x")
     p2 = own2.withColumn("last", last).join(p1, F.col("last") == p1["w"]).drop("w").join(back, head == back["w"])
-    p2 = save(p2.select("k", "c", (F.col("own") + F.col("w2") * F.col("p1")).alias("p2"), (F.col("w2") * F.col("p1")).alias("below")))
+    p2 = save(p2.select("k", "c", (F.col("own") + F.col("w2") * F.col("p1")).alias("p2"), (F.col("w2") * F.col("p1")).alias("below")), folder=folder)
     ahead = per3.select(F.col("x").alias("k"), F.col("weight").alias("w3"))
     gain2 = p2.join(ahead, "k", "left").select("k", "c", (F.log(F.col("p2") / F.col("below")) + F.coalesce(F.log("w3"), F.lit(0.0))).alias("gain"))
     tail = p2.select(F.col("k").alias("k2"), "p2")
     full = own3.join(ahead.withColumnRenamed("k", "k3"), F.col("x") == F.col("k3")).withColumn("tail", F.col("k").bitwiseAND((1 << 2 * BITS) - 1))
     full = full.join(tail, F.col("tail") == F.col("k2"))
     gain3 = full.select("k", "c", F.log1p(F.col("own") / (F.col("w3") * F.col("p2"))).alias("gain"))
-    return save(single), save(gain2.unionByName(gain3))
+    return single, gain2.unionByName(gain3)
 
 
 def _frequent(gains: DataFrame, held: int) -> int:
