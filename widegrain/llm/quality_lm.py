@@ -603,7 +603,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, cut
     known = F.broadcast(trusted) if few else trusted
     learned = src.join(known.where("NOT out"), F.col("doc_id") == F.col("trusted_id"), "left_semi")
     with scratch(docs.sparkSession) as folder:
-        scores = score(src, model(count_ngrams(learned, folder), cutoff, folder), held_grams=held_grams)
+        # The counts go when the model is made of them.
+        with scratch(docs.sparkSession) as counts:
+            known_grams = model(count_ngrams(learned, counts), cutoff, folder)
+        scores = score(src, known_grams, held_grams=held_grams)
     cuts = thresholds(scores.join(known.where("out"), F.col("doc_id") == F.col("trusted_id"), "left_semi"), quantile)
     by_lang = cuts.where("lang IS NOT NULL").select(F.col("lang").alias("cut_lang"), F.col("threshold").alias("own"))
     general = cuts.where("lang IS NULL").agg(F.max("threshold").alias("general"))
